@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import topk
+from memengine.llm import decontam, topk
 
-QUERIES = {"op4_exact_topk": topk.query}
-ORACLE = {"op4_exact_topk": topk.ORACLE}
+QUERIES = {"op4_exact_topk": topk.query, "op10_decontaminate": decontam.query}
+ORACLE = {"op4_exact_topk": topk.ORACLE, "op10_decontaminate": decontam.ORACLE}
