@@ -1,6 +1,8 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, topk
+from memengine.llm import decontam, simhash, topk
 
-QUERIES = {"op4_exact_topk": topk.query, "op10_decontaminate": decontam.query}
+QUERIES = {
+    "op3_simhash_near_dedup": simhash.query,
+    "op4_exact_topk": topk.query, "op10_decontaminate": decontam.query}
 ORACLE = {"op4_exact_topk": topk.ORACLE, "op10_decontaminate": decontam.ORACLE}
