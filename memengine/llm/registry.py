@@ -1,8 +1,14 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, simhash, topk
+from memengine.llm import decontam, lines, simhash, topk
 
 QUERIES = {
+    "op2_line_dedup": lines.query,
     "op3_simhash_near_dedup": simhash.query,
-    "op4_exact_topk": topk.query, "op10_decontaminate": decontam.query}
-ORACLE = {"op4_exact_topk": topk.ORACLE, "op10_decontaminate": decontam.ORACLE}
+    "op4_exact_topk": topk.query,
+    "op10_decontaminate": decontam.query,
+}
+ORACLE = {
+    "op4_exact_topk": topk.ORACLE,
+    "op10_decontaminate": decontam.ORACLE,
+}
