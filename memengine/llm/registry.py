@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, lines, packing, simhash, token_files, topk
+from memengine.llm import decontam, langid, lines, packing, simhash, token_files, topk
 
 QUERIES = {
     "op2_line_dedup": lines.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_exact_topk": topk.query,
+    "op5_language_id": langid.query,
     "op6_best_fit_packing": packing.query,
     "op7_token_files": token_files.query,
     "op10_decontaminate": decontam.query,
