@@ -1,8 +1,9 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, langid, lines, packing, simhash, token_files, topk
+from memengine.llm import decontam, langid, lines, packing, quality, simhash, token_files, topk
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
     "op2_line_dedup": lines.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_exact_topk": topk.query,
