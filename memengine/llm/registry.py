@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, langid, lines, packing, pii, quality, simhash, token_files, topk
+from memengine.llm import decontam, langid, lines, lm, packing, pii, quality, simhash, token_files, topk
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_token_files": token_files.query,
     "op8_personal_data": pii.query,
+    "op9_pseudo_likelihood": lm.query,
     "op10_decontaminate": decontam.query,
 }
 ORACLE = {
     "op4_exact_topk": topk.ORACLE,
     "op8_personal_data": pii.query,
+    "op9_pseudo_likelihood": lm.query,
     "op10_decontaminate": decontam.ORACLE,
 }
