@@ -17,6 +17,8 @@ from memengine.llm.common import mix, table
 SPECTRUM, PLACES = 3, 14
 #: Labelled documents to learn from at most, over all languages, and how many of those are landmarks.
 SAMPLE, LANDMARKS = 1600, 96
+#: Groups that a language's rows are first chosen in.
+SPREAD = 64
 RIDGE = 1e-3
 UNKNOWN = "und"
 _LETTER = np.array([97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -85,8 +87,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
     """
     open_rows = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(3, 1))
     langs = max(1, open_rows.select(F.count_distinct("lang")).first()[0])
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = open_rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= -(-sample // langs)).select(F.col("doc_id").alias("id"), "lang", "n").limit(sample + langs)
+    each, spread = -(-sample // langs), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    nth = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = open_rows.select("doc_id", "lang").withColumn("n", nth(spread)).filter(F.col("n") <= each)  # a common language is no single group
+    chosen = some.withColumn("n", nth()).filter(F.col("n") <= each).select(F.col("doc_id").alias("id"), "lang", "n").limit(sample + langs)
     texts = docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("lang", "n", "text")
     rows = texts.mapInArrow(_presence_rows, "lang string, n int, has binary").toPandas().sort_values(["n", "lang"], kind="stable")
     if rows.empty:
