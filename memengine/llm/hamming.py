@@ -84,5 +84,5 @@ def hamming_links(fps: DataFrame, differ: int = 3, blocks: int = 6, bucket: int
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     finer = F.element_at(F.array(*[F.array(*[_long(m) for m in x]) for x in level2]), F.col("t") + 1)
     keys = F.when(F.col("n") <= bucket, F.array("key")).otherwise(F.transform(finer, lambda m, i: F.xxhash64("key", i, F.col("fp").bitwiseAND(m))))
-    groups = keyed.join(shared, "key").select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    groups = keyed.join(shared.hint("shuffle_hash"), "key").select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     return groups.filter(F.size("fps") > 1).select("fps").mapInArrow(_bucket_links(differ), "src long, dst long").distinct()
