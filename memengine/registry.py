@@ -1,4 +1,6 @@
 """The queries of the memory engine and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from memengine.plans import recall_queries
+
+QUERIES = {**recall_queries.QUERIES}
+ORACLE = {**recall_queries.ORACLE}
