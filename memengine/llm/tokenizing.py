@@ -24,10 +24,11 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     """encode(text) gives what the tokenizer gives for the whole text, as little-endian unsigned 32-bit ids.
 
-    A byte-level pre-tokenizer never lets a piece run from a visible character into a space, nor start behind a
+    A byte-level pre-tokenizer never lets a piece run from a visible character into white space, nor start behind a
     single space that has visible characters on both sides, nor run from a letter or digit into the marks that end a
-    word; so a text can be cut there and its words encoded one by one. Texts with other white space next to a space, or
-    with a special token, are encoded as they are, in one piece.
+    word; so a text whose white space is single spaces and line feeds between visible characters can be cut before each
+    of them and its words encoded one by one. Other texts, and those with a special token, are encoded in one piece.
+    A word is known by its characters without the space before it, or with the line feed before it.
     """
 
     def __init__(self, path: str):
@@ -41,18 +42,19 @@ class Encoder:
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"\n": b""}
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that each follow a space: one call for all, cut where each word's bytes end."""
+        """Ids of words that each follow a space or line feed: one call for all, cut where each word's bytes end."""
         if not words:
             return {}
-        ids = np.frombuffer(self.whole(" " + " ".join(words)), "<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        units = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.frombuffer(self.whole("".join(units)), "<u4")
+        ends = np.cumsum([len(u.encode()) for u in units])
         cut = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1).tolist()
         raw, at, out = ids.tobytes(), 0, {}
         for w, to in zip(words, cut, strict=True):
@@ -80,22 +82,22 @@ class Encoder:
         return learnt | {w: (learnt.get(stem) or self.known[stem]) + tails[tail] for w, stem, tail in parts}
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            words = text.split(" ")
-            plain = "" not in words and not any(w[0].isspace() or w[-1].isspace() for w in words) and not any(s in text for s in self.special)
-            split.append(words if plain else None)
         known = self.known
-        new = set().union(*(w[1:] for w in split if w)).difference(known)
+        plain, heads, split, found = [], [], [], []
+        for text in texts:
+            words = text.replace("\n", " \n").split(" ")
+            plain.append("" not in words and "\n" not in words and len(words) == len(text.split()) and not any(x in text for x in self.special))
+            if plain[-1]:
+                heads.append(words[0])
+                words[0] = "\n"  # no word; it stands for no ids
+                split.append(words)
+                found.append(list(map(known.get, words)))
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         if new:
             learnt = self._ids(new)
+            found = [ids if None not in ids else [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)] for words, ids in zip(split, found, strict=True)]
             if len(known) + len(learnt) <= REMEMBERED:
                 known.update(learnt)
-            else:
-                known = learnt | {w: known[w] for words in split if words for w in words[1:] if w in known}
-        get = known.__getitem__
-        heads = iter(self.tokenizer.encode_batch_fast([w[0] for w in split if w], add_special_tokens=False))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            out.append(self.whole(text) if words is None else b"".join([np.array(next(heads).ids, "<u4").tobytes(), *map(get, words[1:])]))
-        return out
+        first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+        joined = iter([np.array(e.ids, "<u4").tobytes() + b"".join(ids) for e, ids in zip(first, found, strict=True)])
+        return [next(joined) if whole else self.whole(text) for whole, text in zip(plain, texts, strict=True)]
