@@ -47,9 +47,7 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, sou
 
 _BASE = "WITH " + v.DOCS + "," + v.QUERIES + "," + _TOKENS
 _ALL = _BASE + "," + _SIGNALS
-_JUDGED = ", judged AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN docs ON contains(docs.text, trim(b.text)) AND list_contains(string_split(docs.text, chr(10)), string_split(trim(b.text), chr(10))[1]))"
-_METRICS = """
-, per AS (SELECT query_id, min(slot) AS best FROM (SELECT DISTINCT query_id FROM judged) LEFT JOIN (SELECT query_id AS qq, slot FROM {chosen} JOIN judged USING (query_id, doc_id)) ON query_id = qq GROUP BY 1)"""
+_JUDGED = ", judged AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN docs ON contains(docs.text, trim(b.text)))"
 
 
 def _inputs(spark, d):
