@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memengine.functions import text as tx
@@ -263,26 +264,27 @@ def index_prune(spark, d) -> DataFrame:
 
 
 def eval_metrics(spark, d) -> DataFrame:
-    found, queries, docs = rq._candidates(spark, d)
-    chosen = rq.select.select_candidates(found, queries, unique_sources=True)
-    chosen = chosen.select("query_id", "doc_id", "slot", "content_sha256").persist()
+    docs, queries, index = rq._inputs(spark, d)
+    found = rq.recall.rank_lexical(queries, docs, index)
+    chosen = rq.select.select_candidates(found, queries, unique_sources=True).select("query_id", "doc_id", "slot", "content_sha256").persist()
     forbidden = queries.select("query_id", F.concat(F.lit("d"), F.lpad((F.col("query_id") * 20).cast("string"), 9, "0")).alias("doc_id"))
-    return evaluate.metrics(chosen, v.judgements(spark, d), queries, forbidden)
+    return evaluate.metrics(chosen, v.judgements(spark, d, index).persist(), queries, forbidden)
+
+
+def _sweep(spark, d) -> DataFrame:
+    docs, queries, index = rq._inputs(spark, d)
+    chosen = rq.select.select_candidates(rq.recall.rank_lexical(queries, docs, index), queries, unique_sources=True)
+    turn = F.row_number().over(W.partitionBy("query_id", "source_kind", "project_slug").orderBy("position"))
+    kept = chosen.select("query_id", "doc_id", "score", turn.alias("turn"), "source_kind", "project_slug").persist()
+    return evaluate.threshold_sweep(kept, v.judgements(spark, d, index).persist())
 
 
 def threshold_sweep(spark, d) -> DataFrame:
-    found, queries, _ = rq._candidates(spark, d)
-    chosen = rq.select.select_candidates(found, queries, unique_sources=True)
-    turn = F.row_number().over(rq.ix.W.partitionBy("query_id", "source_kind", "project_slug").orderBy("position"))
-    return evaluate.threshold_sweep(chosen.withColumn("turn", turn), v.judgements(spark, d)).select("threshold", "mrr", "hit_3")
+    return _sweep(spark, d).select("threshold", "mrr", "hit_3")
 
 
 def calibrate(spark, d) -> DataFrame:
-    found, queries, _ = rq._candidates(spark, d)
-    chosen = rq.select.select_candidates(found, queries, unique_sources=True)
-    turn = F.row_number().over(rq.ix.W.partitionBy("query_id", "source_kind", "project_slug").orderBy("position"))
-    sweep = evaluate.threshold_sweep(chosen.withColumn("turn", turn), v.judgements(spark, d))
-    return evaluate.calibrate(sweep, "held/out.json", "f" * 64).select("mode", "calibration_version", "threshold")
+    return evaluate.calibrate(_sweep(spark, d), "held/out.json", "f" * 64).select("mode", "calibration_version", "threshold")
 
 
 def message_search(spark, d) -> DataFrame:
@@ -415,12 +417,12 @@ ORACLE = {
       SELECT f.chat, 'chat-' || CAST(min(id) AS VARCHAR) || '-' || CAST(max(id) AS VARCHAR) AS session_id, min(id) AS first_id, max(id) AS last_id, count(*) AS n_rows, count(*) FILTER (role = 'user') AS user_msg_count, count(*) FILTER (role <> 'user') AS asst_msg_count, CAST(any_value(total) AS BIGINT) AS total_chars, max(ts) AS started_at, max(ts) AS ended_at
       FROM f JOIN r ON r.chat = f.chat AND r.n BETWEEN first_n AND f.n WHERE total >= 500 GROUP BY f.chat, f.n""",
     "event_lifecycle": """WITH RECURSIVE r AS (
-        SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS n, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'claim' END AS action, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+        SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS n, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'claim' END AS action, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
       f AS (
-        SELECT session_id, n, action, k, action = 'claim' AS granted, CASE WHEN action = 'claim' THEN 'running' ELSE 'none' END AS status, CASE WHEN action = 'claim' THEN 1 ELSE 0 END AS attempts, at AS started FROM r WHERE k = 1
+        SELECT session_id, n, action, k, action = 'claim' AS granted, CASE WHEN action = 'claim' THEN 'running' ELSE 'none' END AS status, CASE WHEN action = 'claim' THEN 1 ELSE 0 END AS attempts, tm AS started FROM r WHERE k = 1
         UNION ALL
-        SELECT session_id, n, action, k, ok, CASE WHEN NOT ok THEN status WHEN action = 'claim' THEN 'running' WHEN action = 'succeed' THEN 'succeeded' ELSE 'failed' END, CASE WHEN ok AND action = 'claim' THEN attempts + 1 ELSE attempts END, CASE WHEN ok AND action = 'claim' THEN at ELSE started END
-        FROM (SELECT r.session_id, r.n, r.action, r.k, r.at, f.status, f.attempts, f.started, CASE WHEN r.action = 'claim' THEN f.status = 'none' OR (f.status = 'running' AND r.at - f.started >= 10) OR (f.status = 'failed' AND f.attempts < 2) ELSE f.status = 'running' END AS ok FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
+        SELECT session_id, n, action, k, ok, CASE WHEN NOT ok THEN status WHEN action = 'claim' THEN 'running' WHEN action = 'succeed' THEN 'succeeded' ELSE 'failed' END, CASE WHEN ok AND action = 'claim' THEN attempts + 1 ELSE attempts END, CASE WHEN ok AND action = 'claim' THEN tm ELSE started END
+        FROM (SELECT r.session_id, r.n, r.action, r.k, r.tm, f.status, f.attempts, f.started, CASE WHEN r.action = 'claim' THEN f.status = 'none' OR (f.status = 'running' AND r.tm - f.started >= 10) OR (f.status = 'failed' AND f.attempts < 2) ELSE f.status = 'running' END AS ok FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
       SELECT session_id, 'prompt' AS event, 'v1' AS policy, n, action, granted, status, CAST(attempts AS INTEGER) AS attempts, CAST(attempts AS INTEGER) AS token FROM f""",
     "session_summaries": _D + " SELECT s.session_id, summary FROM sessions s LEFT JOIN distilled d ON s.session_id = d.session_id",
 }

@@ -52,7 +52,8 @@ _JUDGED = ", judged AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN
 
 def _inputs(spark, d):
     docs = v.recall_documents(spark, d)
-    return docs, v.recall_queries(spark, d), ix.build_index(docs)
+    index = ix.build_index(docs)
+    return docs, v.recall_queries(spark, d), ix.Index(index.postings.persist(), index.lengths.persist())
 
 
 def _candidates(spark, d):

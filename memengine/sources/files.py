@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ def memory_files(spark: SparkSession, root: str) -> DataFrame:
     Line ends are made \\n before the digest.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = F.regexp_replace(F.substring_index("path", f"{root.rstrip('/').removeprefix('file:')}/", -1), "^/+", "")
+    below = re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") + "/"
+    at = F.substring_index("path", below, -1)
     named = files.withColumn("at", at)
     hidden = F.col("at").rlike(r"(^|/)\.") | F.col("at").rlike(r"(^|/)memory-backups/") | F.col("at").rlike(r"(\.tmp|~)$")
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")

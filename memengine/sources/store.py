@@ -23,7 +23,13 @@ class Store:
         at = self.path("_current")
         if not self.fs.exists(at):
             return {"version": 0, "tables": {}}
-        return json.loads(self.spark.read.text(str(at), wholetext=True).first()[0])
+        return self._json("_current")
+
+    def _json(self, at: str) -> dict:
+        stream = self.fs.open(self.path(at))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
     def read(self, name: str, state: dict | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{(state or self.state())['tables'][name]}")
@@ -55,7 +61,7 @@ class Store:
         """Forget all but the last ``versions`` commits, and folders that none of them names; returns the kept versions."""
         names = sorted(x.getPath().getName() for x in self.fs.listStatus(self.path("_versions")))
         old, kept = names[:-versions], names[-versions:]
-        read = lambda n: set(json.loads(self.spark.read.text(f"{self.root}/_versions/{n}", wholetext=True).first()[0])["tables"].values())
+        read = lambda n: set(self._json(f"_versions/{n}")["tables"].values())
         live = set().union(*map(read, kept))
         for n in old:
             for folder in read(n) - live:
