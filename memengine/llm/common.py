@@ -46,6 +46,26 @@ def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
+#: log2 of the bits of a hash filter: 8 MB, however many values it stands for.
+FILTER_BITS = 26
+
+
+def hash_filter(values: DataFrame, hashed: str) -> np.ndarray:
+    """A bit set by the top FILTER_BITS bits of each 64-bit hash; the driver gets its non-empty words, 2**20 at most."""
+    cell = F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+    bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned({hashed}, {64 - FILTER_BITS}) & 63))")
+    words = values.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("set")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[words.column("at").to_numpy().astype(np.int64)] = words.column("set").to_numpy().astype(np.int64).view(np.uint64)
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of the filter's values; true for every one that is."""
+    cell = hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1) != 0
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, and the n + 1 offsets of its values in them."""
     wide = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32

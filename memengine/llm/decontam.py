@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, mix, span_hash, table, words
+from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, hash_filter, mix, passes, span_hash, table, words
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 13
-#: log2 of the bits of the table that drops most fingerprints of documents before the join: 8 MB, however large the benchmark.
-FILTER_BITS = 26
 
 _SEED = pa.struct([("t", pa.int32()), ("fp", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("words", pa.string())])
 _SEEDS = "array<struct<t:int,fp:bigint,pos:bigint,lead:int,words:string>>"
@@ -74,8 +72,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], lengths: list[int], bits: np.ndarr
                 if own:
                     keep = np.minimum(count, WINDOW)[of[place]] == t
                 else:
-                    cell = fp >> np.uint64(64 - FILTER_BITS)
-                    keep = bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1) != 0
+                    keep = passes(bits, fp)
                 k, _ = shape(t)
                 for p, h in zip(place[keep].tolist(), fp[keep].view(np.int64).tolist(), strict=True):
                     lo, hi = max(first[of[p]], p - (t - k)), min(first[of[p] + 1], p + t)
@@ -122,10 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     item_seeds = own.select("doc_id", F.explode("seeds").alias("s")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item"), F.col("s.t").alias("t"), F.col("s.fp").alias("fp"), F.col("s.lead").alias("i_lead"), F.col("s.words").alias("i_words"))
     item_seeds = cut(item_seeds.distinct())
     lengths = sorted(r["t"] for r in item_seeds.select("t").distinct().collect())  # at most WINDOW of them
-    cell = F.shiftrightunsigned("fp", 64 - FILTER_BITS)
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    marks = item_seeds.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(fp, {64 - FILTER_BITS}) & 63))")).alias("set")).toArrow()
-    bits[marks.column("at").to_numpy().astype(np.int64)] = marks.column("set").to_numpy().astype(np.int64).view(np.uint64)
+    bits = hash_filter(item_seeds, "fp")
     held = docs.sparkSession.sparkContext.broadcast(bits)  # a fixed size
 
     scanned = as_bytes(docs).mapInArrow(lambda it: _seeds(it, lengths, held.value, False), f"doc_id long, n_words long, seeds {_SEEDS}")
