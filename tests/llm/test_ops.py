@@ -1,0 +1,218 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from memengine.llm import decontam, langid, lm, pii, quality, simhash, topk
+from memengine.llm.components import connected_components
+from memengine.llm.hamming import hamming_links, masks, star_links
+
+SF = "/root/testdata/sf0.001"
+TEXTS = [None, "", " \n\t ", "A", "a b", "One two three four", "one TWO three four", "İ ß é 日本", "x " * 4000, "one two three four", "1.2.3.4 a@b.co +1 234 567 8901"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, a null id, and columns whose names clash with results."""
+    rows = [(i, t, "s", 1.5, "f") for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], "s", 1.5, "f"), (None, "no id", "s", 1.5, "f"), (70, "no id", None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, fingerprint string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, score double, fingerprint string")
+
+
+def components(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    return {n: top(n) for n in nodes}
+
+
+def test_components_of_chains_stars_and_noise(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(250)] + [(5, 5), (5, 6)]
+    df = spark.createDataFrame([*links, (None, 3)], "src long, dst long").repartition(5)
+    want = components({n for a, b in links if a != b for n in (a, b)}, links)
+    assert {(r.node, r.root) for r in connected_components(df).collect()} == set(want.items())
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_masks_keep_close_pairs_together():
+    found = masks(list(range(64)), 6, 3)
+    rng = random.Random(2)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 3):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in found)
+
+
+@pytest.mark.parametrize("bucket", [4096, 64])
+def test_hamming_links(spark, bucket):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = set(base)
+    for b in base:
+        for _ in range(20):
+            v = b
+            for bit in rng.sample(range(64), rng.randint(1, 4)):
+                v ^= 1 << bit
+            fps.add(v)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    v = np.array(signed, np.int64).view(np.uint64)
+    pairs = [(signed[i], signed[j]) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[:i] ^ v[i]) <= 3)]
+    want = components(signed, pairs)
+    got = {r.node: r.root for r in connected_components(hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)).collect()}
+    assert {n: got.get(n, n) for n in signed} == want and len(got) > 400
+
+
+def test_star_links_cross_dense_groups():
+    v = np.arange(512, dtype=np.uint64)
+    src, dst = star_links(np.arange(512), v, 1)
+    assert len(src) == 511 and set(dst) == {0}
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, odd, empty):
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
+    fps = {i: slow_fingerprint(t) for i, t in enumerate(TEXTS)} | {70: slow_fingerprint("no id")}
+    want = {(i, f"{f:016x}", min(j for j, g in fps.items() if g == f)) for i, f in fps.items()} | {(None, f"{fps[70]:016x}", 70)}
+    assert got == want
+    kept = {r.doc_id for r in simhash.keep_one(odd).collect()}
+    assert 6 not in kept and 9 not in kept and {0, 5, None, 70} <= kept
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def slow_contamination(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, found = words(text), set(), set()
+    for item, t in items:
+        v = words(t)
+        n = min(13, len(v))
+        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1):
+            if n and tuple(w[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(item)
+    ids = ",".join(sorted("" if i is None else str(i) for i in found))
+    return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_contamination_is_the_brute_force(spark, odd, empty):
+    rng = random.Random(4)
+    vocab = ["ab", "Ba", "c1", "dé", "e", "f"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.choice([13, 14, 20, 30]))) for i in range(8)] + [(20, "ab Ba c1 dé e f ab"), (21, None), (22, "..."), (23, "zz"), (2, say(40)), (None, "qq rr ss")]
+    docs = [(i, f"{say(rng.randint(0, 60))}, {rng.choice(items)[1] or ''}! {say(rng.randint(0, 300))}") for i in range(40)]
+    docs += [(50, None), (51, ""), (52, "zz"), (52, "zz"), (53, "QQ rr. SS"), (None, items[0][1])]
+    df = spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, n_hit int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(map(str, r)) for r in decontam.contamination(df, bench).collect())
+    assert got == sorted(tuple(map(str, (d, *slow_contamination(t, items)))) for d, t in docs)
+    assert sum(x[5] == "True" for x in got) > 20
+    assert decontam.contamination(empty, bench).count() == 0
+    assert {r.n_hit for r in decontam.contamination(odd, bench.limit(0)).collect()} == {0}
+    assert set(decontam.clean(df, bench).columns) == {"doc_id", "text", "n_hit"}
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [1.0] * 6), (150, [1e30] * 6), (7, [2.0] * 6)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(3)
+    sparse = topk.sparse_rows(df)
+    got = topk.exact_topk(sparse.filter("vec_id % 50 = 0"), sparse, 5, candidates=40, block=2).collect()
+    fine = [(i, np.clip(np.floor(256 * np.array(v, np.float32).astype(float)), -topk.LARGEST, topk.LARGEST).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = set()
+    for q, v in fine:
+        if q % 50 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in fine if i != q), key=lambda x: (x[0], x[1]))[:5]
+            want |= {(q, k + 1, i, -int(s)) for k, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in got} == want
+    assert topk.exact_topk(sparse.limit(0), sparse).count() == 0
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = langid.query(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = found[found.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.97 and found.score.between(0, 1).all()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in found.doc_id]).all()
+    model = langid.learn(docs)
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd, model).collect()}
+    assert {(0, "und"), (1, "und"), (2, "und")} <= got and len(got) == 13 and langid.identify(empty, model).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
+    assert langid.keep_identified(odd).columns == odd.columns
+
+
+def test_presence_is_by_text():
+    a, b = langid.presence(["abc", "bca"])
+    both = langid.presence(["bca"])[0]
+    assert (b == both).all() and (a != b).any() and langid.presence([""]).sum() == 0
+
+
+def test_quality(spark, odd, empty):
+    got = quality.query(spark, "/root/testdata/sf0.01").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(got, on="doc_id")
+    held = labels[labels.held_out]
+    assert (held.quality == held.predicted).mean() > 0.95 and got.score.between(0, 1).all() and len(got) == 1000
+    rules = quality.learn(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in quality.score_quality(odd, rules).collect()} == {0.5} and quality.score_quality(empty, rules).count() == 0
+
+
+def test_personal_data(spark, odd, empty):
+    detector = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = {r.doc_id: r for r in pii.detect(odd, detector).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[10].base] == [("email", 8, 14), ("ip", 0, 7), ("phone", 15, 30)] and not found[0].base
+    assert pii.detect(empty, detector).count() == 0 and pii.detect(odd, pii.learn(empty)).count() == 14
+    assert {r.text for r in pii.redacted(odd, detector).collect() if r.doc_id == 10} == {"<ip> <email> <phone>"}
+    rng = random.Random(6)
+    slow = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for _ in range(3000):
+        t = "".join(rng.choice("a.@-12+ ()%5é") for _ in range(rng.randint(0, 40)))
+        want = [(k, *m.span()) for k, p in slow for m in re.finditer(p, t) if k == "email" or pii.fits(k, m[0])]
+        assert pii.base_spans(t) == want
+        base, every = detector.spans(t)
+        assert set(base) <= set(every)
+
+
+def test_language_model(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = lm.vocabulary(docs)
+    total = docs.selectExpr("sum(size(filter(split(text, '[ \\\\t-\\\\r]+'), x -> x <> ''))) AS n").first().n
+    assert words.counts.sum() == total + lm.TOKENS
+    before, after = (lm.score(docs, words, net).toPandas() for net in (lm.start(words.counts), lm.train(docs, words)))
+    assert after.log_likelihood.sum() > before.log_likelihood.sum() and (after.n_tokens == before.n_tokens).all()
+    got = {r.doc_id: r for r in lm.score(odd, words, lm.start(words.counts)).collect()}
+    assert got[0].n_tokens == got[1].n_tokens == got[2].n_tokens == 0 and got[0].log_likelihood == 0 and got[8].n_tokens == 4000
+    assert lm.score(empty, lm.vocabulary(empty), lm.train(empty, lm.vocabulary(empty))).count() == 0
+
+
+def test_network_gradient_and_normalisation():
+    rng = np.random.default_rng(7)
+    net = lm.start(np.ones(lm.TOKENS))
+    around = rng.integers(0, lm.TOKENS + 1, (6, 2 * lm.WINDOW)).astype(np.int32)
+    total = sum(np.exp(lm.log_probabilities(net, around, np.full(6, t, np.int32))) for t in range(lm.TOKENS))
+    assert np.allclose(total, 1, atol=1e-3)
+    tokens = rng.integers(0, lm.TOKENS, 6).astype(np.int32)
+    for _ in range(300):
+        lm.train_step(net, around, tokens, 0.5)
+    assert lm.log_probabilities(net, around, tokens).mean() > -0.5
