@@ -132,9 +132,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language some one-versus-rest output claims (score of ``least`` or more), with all their columns.
 
-    A row without an id stays.
+    Texts without a letter go. Where there is nothing to learn from, no other text does. A row without an id stays.
     """
-    bad = identify(docs, learn(docs)).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
+    model = learn(docs)
+    found = identify(docs, model) if model else docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.lit(1.0).alias("score"))
+    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
