@@ -226,3 +226,73 @@ def test_session_start_exclusions(spark):
 def test_public_fixtures_do_not_calibrate(spark):
     with pytest.raises(ValueError):
         evaluate.calibrate(spark.range(1), "x/public/held.json", "f")
+
+
+def test_consolidation_is_one_commit(spark, tmp_path):
+    from memengine.operators import ingest
+    from memengine.sources.store import Store
+
+    distilled = spark.createDataFrame([("s1", "k1", "2024-01-01", "{}"), ("s2", None, "2024-01-02", "bad"), ("s3", "k3", "2024-01-03", "{}")], "session_id string, distillation_key string, distilled_at string, notes_json string")
+    sessions = spark.createDataFrame([("s1", None, "2024-02-03"), ("s2", "2024-02-02", None), ("s3", None, None)], "session_id string, ended_at string, started_at string")
+    ledger = spark.createDataFrame([("k3", "s3", "r")], "distillation_key string, session_id string, run_id string")
+    memory = spark.createDataFrame([("a.md", "x", "sha", "2024-02-01 00:00:00")], "path string, body string, sha256 string, at string").withColumn("modified", F.col("at").cast("timestamp"))
+    batch = consolidate.collect_batch(distilled, sessions, ledger)
+    assert [(r.session_id, r.dkey, r.notes_json) for r in batch.orderBy("ts").collect()] == [("s2", "legacy:s2", "{}"), ("s1", "k1", "{}")]
+    assert not consolidate.is_idle(batch, memory) and consolidate.is_idle(batch.limit(0), memory.limit(0))
+    said = spark.createDataFrame([(1, "remove", "a.md", None), (2, "new", "b.md", "body"), (3, "remove", "gone.md", None)], "id long, kind string, target_path string, body string")
+    kept = consolidate.drop_fresh_removals(consolidate.bind(said, memory), memory, F.lit("2024-02-21 23:00:00").cast("timestamp"))
+    assert [(r.id, r.base_sha256, r.target_existed) for r in kept.orderBy("id").collect()] == [(2, None, 0), (3, None, 0)]
+    assert consolidate.drop_fresh_removals(said, memory, F.lit("2024-02-22 00:00:01").cast("timestamp")).count() == 3
+    named = consolidate.previews(kept, "2024-02-21", 7)
+    assert [r.sug_file for r in named.orderBy("id").collect()] == ["2024-02-21-008-new-b.md", "2024-02-21-009-remove-gone.md"]
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert consolidate.commit(store, named, consolidate.fit_batch(batch), "run1", "local", None) == 1
+    assert {r.distillation_key for r in store.read("ledger").collect()} == {"k1", "legacy:s2"} and store.read("suggestions").count() == 2
+    assert consolidate.collect_batch(distilled, sessions, store.read("ledger").unionByName(ledger)).count() == 0
+    consolidate.commit(store, named.limit(0), consolidate.fit_batch(batch.limit(0)), "run2", "local", "m")
+    assert store.read("consolidation_runs").count() == 2 and store.read("suggestions").count() == 2
+    assert ingest.newest(sessions.withColumn("total_chars", F.lit(1)), 1).first().session_id == "s1"
+
+
+def test_prompts_go_out_and_completions_come_back(spark):
+    pending = spark.createDataFrame([("s1", "2024", None, "p", "r", "v"), ("s2", None, "/w", "", None, None), ("s3", "x", "x", "x", "x", "x")], "session_id string, started_at string, cwd string, project_slug string, source_revision string, parser_version string")
+    said = spark.createDataFrame([("s1", 1, "user", "hi", "t1"), ("s1", 2, "assistant", "yo", None), ("s2", 1, "user", "a" * 300, None)], "session_id string, seq long, role string, text string, timestamp string")
+    prompts = distill.prompts(pending, said, "{{started_at}}|{{cwd}}|{{project_slug}}|{{transcript}}")
+    got = {r.session_id: r.prompt for r in prompts.collect()}
+    assert got["s1"] == "2024|unknown|p|--- USER [t1] ---\nhi\n\n--- ASSISTANT ---\nyo\n" and set(got) == {"s1", "s2"} and got["s2"].startswith("unknown|/w|unknown|")
+    notes = json.dumps({"summary": "S" * 600, **{n: [] for n in distill.NOTE_LISTS}, "decisions": ["d1", "d2"]})
+    done = distill.complete(prompts, lambda texts: [notes] * len(texts))
+    valid, rejected = distill.validate(done)
+    rows = distill.load(valid, pending, "now", "pv", "local", None, "{}")
+    one = rows.filter("session_id = 's1'").first()
+    assert one.distillation_key == hashlib.sha256("\0".join(["s1", "r", "v", "pv", "local", "", "{}"]).encode()).hexdigest() and len(one.summary) == 500
+    assert rejected.count() == 0 and distill.findings(rows).count() == 4 and distill.usage(rows).first().findings == 4
+    assert distill.complete(prompts, lambda texts: 1 / 0).filter("completion is null").count() == 2
+
+
+def test_review_prompts_fail_rather_than_cut(spark):
+    rows = spark.createDataFrame([(1, 1, "short"), (2, 2, "x" * 60_001)], "batch int, id long, body string")
+    snaps = rows.select("batch", "id", F.lit("new").alias("kind"), F.lit("a.md").alias("target_path"), "body", F.lit("r").alias("rationale"), F.lit("s").alias("source_sessions"), F.lit("").alias("current_body"), F.lit(None).cast("string").alias("current_sha256"), F.lit(None).cast("string").alias("base_sha256"))
+    got = {r.batch: r for r in curate.review_prompts(snaps, "A {{suggestions}} B", "batch").collect()}
+    assert got[1].fault is None and got[1].prompt.startswith('A [{"id":1') and got[2].prompt is None and "too long" in got[2].fault
+
+
+def test_search_and_snippets(spark):
+    from memengine.operators import search
+
+    said = [("m1", "s1", 1, "user", "Migrating the postgres database tonight"), ("m2", "s1", 2, "assistant", "The migration of databases is done"), ("m3", "s2", 1, "user", "unrelated words " * 30 + "postgres migrations " + "tail " * 30)]
+    messages = spark.createDataFrame(said, "doc_id string, session_id string, seq long, role string, text string")
+    sessions = spark.createDataFrame([("s1", "p1", "/a"), ("s2", "p2", "/b")], "session_id string, project_slug string, cwd string")
+    queries = spark.createDataFrame([("q1", "migration"), ("q2", "postgres migrate"), ("q3", "???"), ("q4", "database_migration")], "query_id string, query_text string")
+    index = ix.build_index(messages, stemmed=True)
+    got = {}
+    for r in search.search_messages(queries, messages, sessions, index).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = r
+    assert set(got["q1"]) == {"m1", "m2", "m3"} and set(got["q2"]) == {"m1", "m3"} and "q3" not in got and "q4" not in got
+    assert "«postgres»" in got["q2"]["m3"].snippet and got["q2"]["m3"].snippet.startswith("…") and got["q2"]["m3"].snippet.endswith("…")
+    assert {r.doc_id for r in search.search_messages(queries, messages, sessions, index, role="assistant").collect()} == {"m2"}
+    assert {r.doc_id for r in search.search_messages(queries, messages, sessions, index, project="p2").collect()} == {"m3"}
+    phrases = spark.createDataFrame([(1, ["postgr", "databas"]), (2, ["databas", "postgr"]), (3, ["migrat"])], "phrase_id int, terms array<string>")
+    assert {(r.phrase_id, r.doc_id, r.tf) for r in ix.phrase_hits(phrases, index).collect()} == {(1, "m1", 1), (3, "m1", 1), (3, "m2", 1), (3, "m3", 1)}
+    changed = ix.update_index(index, messages.filter("doc_id = 'm2'").withColumn("text", F.lit("nothing")), messages.filter("doc_id = 'm3'"), stemmed=True)
+    assert ix.index_health(messages, changed).first().asDict() == {"n_table": 3, "n_index": 2, "missing": 1, "stale": 0, "sound": False}
