@@ -16,7 +16,5 @@ QUERIES = {
 }
 ORACLE = {
     "op4_exact_topk": topk.ORACLE,
-    "op8_personal_data": pii.query,
-    "op9_pseudo_likelihood": lm.query,
     "op10_decontaminate": decontam.ORACLE,
 }
