@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed values: words that count as structured terms
+# fixed values: words that count as structured terms; a caller adds the names of its own tools
 COMMAND_WORDS = [
-    "git", "gh", "codex", "dream", "pytest", "python", "python3", "pip", "uv", "npm", "npx", "pnpm", "yarn", "cargo",
+    "git", "gh", "codex", "pytest", "python", "python3", "pip", "uv", "npm", "npx", "pnpm", "yarn", "cargo",
     "go", "make", "docker", "kubectl", "terraform", "systemctl", "ssh", "curl", "rg", "grep", "find", "sed", "awk",
 ]
 # fixed values: path parts that say nothing about a project
@@ -62,12 +62,12 @@ def query_words(text: Column, most: int = 32) -> Column:
     return F.slice(F.regexp_extract_all(normal_query(text), F.lit(r"(?U)\w+"), F.lit(0)), 1, most)
 
 
-def structured_terms(text: Column) -> Column:
-    """Issue keys, then command words; case-folded, each once, in order of appearance."""
+def structured_terms(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Issue keys, then command words and ``more`` of them; case-folded, each once, in order of appearance."""
     whole = _nfkc(text)
     keys = F.transform(F.regexp_extract_all(whole, F.lit(r"(?<![A-Za-z0-9])([A-Z][A-Z0-9]+-\d+)(?![A-Za-z0-9])"), F.lit(1)), F.lower)
     found = F.regexp_extract_all(casefold(whole), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.array_distinct(F.concat(keys, F.array_intersect(found, F.array(*map(F.lit, COMMAND_WORDS)))))
+    return F.array_distinct(F.concat(keys, F.array_intersect(found, F.array(*map(F.lit, [*COMMAND_WORDS, *more])))))
 
 
 def scrub(text: Column, home: str | None = None) -> Column:
