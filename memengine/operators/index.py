@@ -17,9 +17,21 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DECIMALS = 6
 
 
+#: Rows of a side that is sent to all tasks; a larger one is joined by a shuffle.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if it has been counted to have at most ``most`` rows; for what is made of a batch of queries."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, positions) and lengths(doc_id, dl), over every document, matching or not."""
+    """postings(term, doc_id, dl, tf, positions) and lengths(doc_id, dl), over every document, matching or not.
+
+    dl is the document's length; postings have it too, so that scoring needs no other table than them.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -37,9 +49,10 @@ def build_index(docs: DataFrame, stemmed: bool = False, id_col: str = "doc_id",
     """Index of the documents' tokens, or of their stems. Positions count from 0; a document without tokens has length 0."""
     words = tokens(F.col(text_col))
     terms = docs.select(F.col(id_col).alias("doc_id"), (stems(words) if stemmed else words).alias("terms"))
-    placed = terms.select("doc_id", F.posexplode("terms").alias("pos", "term"))
-    postings = placed.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, terms.select("doc_id", F.size("terms").cast("long").alias("dl")))
+    dl = F.size("terms").cast("long").alias("dl")
+    placed = terms.select("doc_id", dl, F.posexplode("terms").alias("pos", "term"))
+    postings = placed.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return Index(postings, terms.select("doc_id", dl))
 
 
 def update_index(old: Index, changed: DataFrame, removed: DataFrame, **how) -> Index:
@@ -67,17 +80,17 @@ def query_units(queries: DataFrame, words: Column, stemmed: bool = False) -> Dat
 
 
 def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
-    """(phrase_id, doc_id, tf): documents in which the terms of ``phrases(phrase_id, terms)`` stand in a row, and how often."""
-    parts = phrases.select("phrase_id", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    one = parts.filter("n = 1").join(index.postings, "term").select("phrase_id", "doc_id", "tf")
-    starts = parts.filter("n > 1").join(index.postings, "term").select("phrase_id", "n", "doc_id", "offset", F.explode("positions").alias("pos"))
-    rows = starts.groupBy("phrase_id", "n", "doc_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("have")).filter("have = n")
-    return one.unionByName(rows.groupBy("phrase_id", "doc_id").agg(F.count("*").alias("tf")))
+    """(phrase_id, doc_id, dl, tf): documents in which the terms of ``phrases(phrase_id, terms)`` stand in a row, and how often."""
+    parts = small(phrases.select("phrase_id", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term")))
+    one = parts.filter("n = 1").join(index.postings, "term").select("phrase_id", "doc_id", "dl", "tf")
+    starts = parts.filter("n > 1").join(index.postings, "term").select("phrase_id", "n", "doc_id", "dl", "offset", F.explode("positions").alias("pos"))
+    rows = starts.groupBy("phrase_id", "n", "doc_id", "dl", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("have")).filter("have = n")
+    return one.unionByName(rows.groupBy("phrase_id", "doc_id", "dl").agg(F.count("*").alias("tf")))
 
 
 def near_hits(pairs: DataFrame, index: Index, distance: int = 10) -> DataFrame:
     """(pair_id, doc_id): documents in which the terms of ``pairs(pair_id, left, right)`` have at most ``distance`` words between."""
-    a = pairs.join(index.postings.select(F.col("term").alias("left"), "doc_id", F.col("positions").alias("p")), "left")
+    a = small(pairs).join(index.postings.select(F.col("term").alias("left"), "doc_id", F.col("positions").alias("p")), "left")
     b = a.join(index.postings.select(F.col("term").alias("right"), "doc_id", F.col("positions").alias("q")), ["right", "doc_id"])
     close = F.exists("p", lambda x: F.exists("q", lambda y: (x != y) & (F.abs(x - y) - 1 <= distance)))
     return b.filter(close).select("pair_id", "doc_id").distinct()
@@ -103,7 +116,7 @@ def match_all(units: DataFrame, index: Index) -> DataFrame:
     distinct = units.select("terms").distinct().withColumn("phrase_id", F.xxhash64("terms"))
     hits = phrase_hits(distinct.select("phrase_id", "terms"), index)
     dfs = hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
-    weighted = hits.join(dfs, "phrase_id").join(index.lengths, "doc_id").join(F.broadcast(index.statistics()))  # one row
+    weighted = hits.join(dfs, "phrase_id").join(F.broadcast(index.statistics()))  # one row
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     asked = units.withColumn("phrase_id", F.xxhash64("terms")).withColumn("n_units", F.count("*").over(W.partitionBy("query_id")))
     scored = asked.join(weighted.select("phrase_id", "doc_id", part.alias("part")), "phrase_id").groupBy("query_id", "n_units", "doc_id")
