@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_kept: dict = {}
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task of one stage. Tasks of another stage start with nothing, so that
+    one stage's memory is not held through the next ones: every function that runs in tasks asks for it once."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _kept.get("stage") != stage:
+        _kept.clear()
+        _kept["stage"] = stage
+    return _kept
+
+
 def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, body): the id, and the UTF-8 bytes of the whole text; a null text has no bytes."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
@@ -76,6 +91,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets in those bytes) for runs of rows of about ``limit`` bytes."""
+    worker_state()
     data, at = buffers(column)
     a, n = 0, len(column)
     while a < n:

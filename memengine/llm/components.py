@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import cut
+from memengine.llm.common import cut, worker_state
 
 
 #: Links that a task joins up at once.
@@ -36,6 +36,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(x, r) for x in up if (r := top(x)) != x]
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
+    worker_state()
     held, n = [], 0
     for batch in batches:
         held.append(batch)

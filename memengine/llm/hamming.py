@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import cut
+from memengine.llm.common import cut, worker_state
 
 #: One in so many fingerprints shows which buckets are large; so many hot keys (8 bytes each) are sent to all tasks at most.
 SAMPLE_ONE_IN, BROADCAST_KEYS = 64, 500_000
@@ -72,6 +72,7 @@ def _bucket_links(differ: int):
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import mix, table
+from memengine.llm.common import mix, table, worker_state
 
 #: n-grams of 1 to SPECTRUM characters, hashed into 2**PLACES places; the kernel counts the places that two texts share.
 SPECTRUM, PLACES = 3, 14
@@ -75,6 +75,7 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
 
 
 def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state()
     for batch in batches:
         packed = [np.packbits(presence([t.as_py()])[0]).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(packed, pa.binary())], names=["lang", "n", "has"])
@@ -108,6 +109,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         model = held.value
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import as_bytes, cut, table
+from memengine.llm.common import as_bytes, cut, table, worker_state
 from memengine.llm.components import connected_components
 from memengine.llm.hamming import hamming_links
 
@@ -39,6 +39,7 @@ def fingerprint(body: bytes, shingle: int = 3) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("body")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])

@@ -7,18 +7,19 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from memengine.llm.common import worker_state
+
 #: Words whose ids a task remembers. It changes no result, only how often the tokenizer is asked.
 REMEMBERED = 800_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_made: dict[str, "Encoder"] = {}
-
 
 def encoder(path: str) -> "Encoder":
-    """One encoder a Python worker, kept from task to task."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    """One encoder a Python worker, kept from task to task of a stage."""
+    kept = worker_state()
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class Encoder:
