@@ -14,11 +14,11 @@ REMEMBERED = 800_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, remembered: int = REMEMBERED) -> "Encoder":
     """One encoder a Python worker, kept from task to task of a stage."""
     kept = worker_state()
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, remembered)
     return kept[path]
 
 
@@ -32,7 +32,8 @@ class Encoder:
     A word is known by its characters without the space before it, or with the line feed before it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +98,7 @@ class Encoder:
         if new:
             learnt = self._ids(new)
             found = [ids if None not in ids else [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)] for words, ids in zip(split, found, strict=True)]
-            if len(known) + len(learnt) <= REMEMBERED:
+            if len(known) + len(learnt) <= self.remembered:
                 known.update(learnt)
         first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
         joined = iter([np.array(e.ids, "<u4").tobytes() + b"".join(ids) for e, ids in zip(first, found, strict=True)])

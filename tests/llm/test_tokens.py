@@ -28,9 +28,8 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_is_the_tokenizer(monkeypatch):
-    monkeypatch.setattr(tokenizing, "REMEMBERED", 50)
-    e = tokenizing.Encoder(PATH)
+def test_encoder_is_the_tokenizer():
+    e = tokenizing.Encoder(PATH, remembered=50)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t or "" for t in TEXTS])] == [ids_of(t, 0)[:-1] for t in TEXTS]
 
