@@ -1,7 +1,8 @@
 """Language-model scores by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-A token is a word: one of the most frequent words of the corpus, or one of the cells that rarer words hash into. The
-network reads WINDOW tokens on each side of a masked place, each through an embedding table of its own distance, adds
+A token is a word: one of the frequent words of the corpus, or one of the cells that rarer words hash into; the number
+of tokens follows the corpus. A rarer word has its cell's probability times its own share of the cell, from the corpus
+counts, so that every word is scored as itself. The network reads WINDOW tokens on each side of a masked place, each through an embedding table of its own distance, adds
 them, and predicts the token in two steps, its class and its place in the class. Corpus counts choose the vocabulary
 and the first output weights; then every partition trains on all its documents, and the weights are averaged.
 """
@@ -10,22 +11,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, lookup, span_hash, table, words
 
-#: Tokens: CLASSES classes of MEMBERS tokens. The last RARE classes hold the cells of rarer words.
-CLASSES, MEMBERS, RARE = 24, 24, 4
+#: The fewest tokens: classes x members, as many of either. A larger corpus doubles both until its frequent words have room.
+TOKENS = 24 * 24
+#: One token in so many is a cell of rarer words.
+CELLS = 6
+#: A word that makes up one in FREQUENT * root(corpus words) of the corpus is frequent.
+FREQUENT = 4
 WINDOW, WIDTH = 2, 16
 #: Every STRIDE-th place of every document is trained on; rounds over the corpus; places of a gradient step, and its size.
 STRIDE, ROUNDS, STEP, RATE = 6, 1, 1024, 2.0
-TOKENS = CLASSES * MEMBERS
-FREQUENT = TOKENS - RARE * MEMBERS - 1
-EDGE = TOKENS  # stands beyond both ends of a document
 _SOLID = lookup(lambda c: c not in b" \t\n\r\x0b\x0c")
 
 
@@ -41,9 +45,17 @@ class Vocabulary:
     hashes: np.ndarray  # sorted hashes of the frequent words
     tokens: np.ndarray  # their tokens: the rank of their count
     counts: np.ndarray  # corpus count of each token
+    words: DataFrame | None = None  # (h, n) of every word of the corpus; stays on the driver
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}
+
+    @property
+    def first_cell(self) -> int:
+        return len(self.counts) - len(self.counts) // CELLS
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = FREQUENT + (h.view(np.uint64) % np.uint64(TOKENS - FREQUENT)).astype(np.int64)
+        out = self.first_cell + (h.view(np.uint64) % np.uint64(len(self.counts) - self.first_cell)).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             out = np.where(self.hashes[at] == h, self.tokens[at], out)
@@ -58,31 +70,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts of every word of every document; the driver gets the frequent ones and the total of each rare cell."""
+    """Counts of every word of every document; the driver gets the frequent ones and the total of each rare cell.
+
+    Tokens start with TOKENS counts in all, shared evenly, so that none is impossible.
+    """
     counts = cut(as_bytes(docs).mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.filter(F.col("n") * FREQUENT >= isqrt(total)).count()
+    size = TOKENS
+    while size - size // CELLS < frequent:
+        size *= 4
+    cells = size // CELLS
+    top = counts.orderBy(F.desc("n"), "h").limit(size - cells).toArrow()
     h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(h)
-    made = Vocabulary(h[order], np.arange(len(h))[order], np.ones(TOKENS))
+    made = Vocabulary(h[order], np.arange(len(h))[order], np.full(size, TOKENS / size), counts)
     made.counts[: len(h)] += n
     # unsigned h modulo the number of cells, from its two halves
-    cells = TOKENS - FREQUENT
     cell = F.pmod(F.shiftrightunsigned("h", 32) * (2**32 % cells) + F.col("h").bitwiseAND(F.lit(2**32 - 1)), F.lit(cells)).alias("cell")
     for r in counts.groupBy(cell).agg(F.sum("n").alias("n")).collect():
-        made.counts[FREQUENT + r["cell"]] += r["n"]
-    frequent = np.bincount((h.view(np.uint64) % np.uint64(cells)).astype(np.int64), n, minlength=cells)
-    made.counts[FREQUENT:] -= frequent
+        made.counts[size - cells + r["cell"]] += r["n"]
+    made.counts[size - cells :] -= np.bincount((h.view(np.uint64) % np.uint64(cells)).astype(np.int64), n, minlength=cells)
     return made
 
 
 @dataclass
 class Network:
-    embed: np.ndarray  # (2 * WINDOW, TOKENS + 1, WIDTH)
+    embed: np.ndarray  # (2 * WINDOW, tokens + 1, WIDTH); the last row stands beyond both ends of a document
     hidden: np.ndarray  # (WIDTH,) bias
-    w1: np.ndarray  # (WIDTH, CLASSES)
+    w1: np.ndarray  # (WIDTH, classes)
     b1: np.ndarray
-    w2: np.ndarray  # (CLASSES, WIDTH, MEMBERS)
-    b2: np.ndarray  # (CLASSES, MEMBERS)
+    w2: np.ndarray  # (classes, WIDTH, members)
+    b2: np.ndarray  # (classes, members)
 
     def arrays(self) -> list[np.ndarray]:
         return [self.embed, self.hidden, self.w1, self.b1, self.w2, self.b2]
@@ -102,18 +121,19 @@ def start(counts: np.ndarray, seed: int = 0) -> Network:
     """Random embeddings, and output weights that give each token its share of the corpus."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    share = (counts / counts.sum()).reshape(CLASSES, MEMBERS)
+    n = isqrt(len(counts))
+    share = (counts / counts.sum()).reshape(n, n)
     of_class = share.sum(1)
-    return Network(draw(2 * WINDOW, TOKENS + 1, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, CLASSES), np.log(of_class).astype(np.float32), draw(CLASSES, WIDTH, MEMBERS), np.log(share / of_class[:, None]).astype(np.float32))
+    return Network(draw(2 * WINDOW, n * n + 1, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, n), np.log(of_class).astype(np.float32), draw(n, WIDTH, n), np.log(share / of_class[:, None]).astype(np.float32))
 
 
-def contexts(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(tokens, 2 * WINDOW) neighbours of each place within its own text; EDGE where the text has none."""
+def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
+    """(tokens, 2 * WINDOW) neighbours of each place within its own text; ``edge`` where the text has none."""
     of = np.repeat(np.arange(len(count)), count)
-    out = np.full((len(tokens), 2 * WINDOW), EDGE, np.int32)
+    out = np.full((len(tokens), 2 * WINDOW), edge, np.int32)
     for k, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
-        out[a, k] = np.where(of[a] == of[b], tokens[b], EDGE)
+        out[a, k] = np.where(of[a] == of[b], tokens[b], edge)
     return out
 
 
@@ -134,13 +154,13 @@ def log_probabilities(net: Network, around: np.ndarray, tokens: np.ndarray) -> n
     """Natural log of the probability of each token given its neighbours."""
     x = _read(net, around)
     place = np.arange(len(tokens))
-    of_class, member = np.divmod(tokens, MEMBERS)
+    of_class, member = np.divmod(tokens, net.w2.shape[2])
     z = x @ net.w1 + net.b1
     z -= z.max(1, keepdims=True)
     out = z[place, of_class] - np.log(np.exp(z).sum(1))
     order = np.argsort(of_class, kind="stable")
-    bounds = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    bounds = np.searchsorted(of_class[order], np.arange(len(net.w2) + 1))
+    for c in range(len(net.w2)):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
             z = x[rows] @ net.w2[c] + net.b2[c]
@@ -153,15 +173,15 @@ def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float
     """One gradient step, in place, on the mean negative log probability."""
     n = len(tokens)
     x = _read(net, around)
-    of_class, member = np.divmod(tokens, MEMBERS)
+    of_class, member = np.divmod(tokens, net.w2.shape[2])
     p, _ = _softmax(x @ net.w1 + net.b1)
     p[np.arange(n), of_class] -= 1
     dx = p @ net.w1.T
     net.w1 -= rate / n * (x.T @ p)
     net.b1 -= rate / n * p.sum(0)
     order = np.argsort(of_class, kind="stable")
-    bounds = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    bounds = np.searchsorted(of_class[order], np.arange(len(net.w2) + 1))
+    for c in range(len(net.w2)):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
             p, _ = _softmax(x[rows] @ net.w2[c] + net.b2[c])
@@ -172,7 +192,10 @@ def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float
     dx *= 1 - x * x
     net.hidden -= rate / n * dx.sum(0)
     for k in range(2 * WINDOW):
-        np.subtract.at(net.embed[k], around[:, k], rate / n * 8 * dx)
+        order = np.argsort(around[:, k].astype(np.uint16) if len(net.embed[k]) <= 1 << 16 else around[:, k], kind="stable")
+        at = around[order, k]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        net.embed[k][at[first]] -= rate / n * 8 * np.add.reduceat(dx[order], first)
 
 
 def _train(net: Network, words_of: Vocabulary, stride: int, rate: float):
@@ -184,7 +207,7 @@ def _train(net: Network, words_of: Vocabulary, stride: int, rate: float):
             for _, _, data, at in chunks(batch.column("body")):
                 h, count = word_hashes(data, at)
                 tokens = words_of(h)
-                around = contexts(tokens, count)
+                around = contexts(tokens, count, len(words_of.counts))
                 first = np.repeat(np.cumsum(count) - count, count)
                 pick = np.flatnonzero((np.arange(len(tokens)) - first) % stride == stride // 2)
                 for a in range(0, len(pick), STEP):
@@ -214,26 +237,61 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: i
     return net
 
 
-def score(docs: DataFrame, words_of: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token) for each row: the sum of every token's conditional log probability.
+def _network_scores(held):
+    """A row for each chunk of texts: what the network gives them, the rarer words, and which of those each text has.
 
-    per_token is the mean, 0 for a text without words, as null and empty ones are. Rows that repeat are each scored;
-    other columns are not looked at.
+    log_likelihood has, for a rarer word, its cell's probability over the cell's count and one for a word that the
+    corpus does not have; the logarithm of the word's own count is still to be added.
     """
-    held = docs.sparkSession.sparkContext.broadcast((words_of, net))  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, net = held.value
+        base, made = TaskContext.get().partitionId() << 32, 0
+        own = np.zeros(len(words_of.counts))
+        own[words_of.first_cell :] = np.log(words_of.counts[words_of.first_cell :] - TOKENS / len(own) + 1)
         for batch in batches:
-            for a, b, data, at in chunks(batch.column("body"), 1 << 20):
+            for a, b, data, at in chunks(batch.column("body"), 2 << 20):
                 h, count = word_hashes(data, at)
                 tokens = words_of(h)
-                around = contexts(tokens, count)
-                logs = np.concatenate([np.zeros(0)] + [log_probabilities(net, around[i : i + 8192], tokens[i : i + 8192]) for i in range(0, len(tokens), 8192)])
-                total = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])[np.concatenate([[0], np.cumsum(count)])])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(count), pa.array(total), pa.array(total / np.maximum(count, 1))], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
+                around = contexts(tokens, count, len(words_of.counts))
+                logs = np.concatenate([np.zeros(0)] + [log_probabilities(net, around[i : i + 8192], tokens[i : i + 8192]) for i in range(0, len(tokens), 8192)]) - own[tokens]
+                ends = np.concatenate([[0], np.cumsum(count)])
+                total = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])[ends])
+                rare = np.flatnonzero(tokens >= words_of.first_cell)
+                known, which = np.unique(h[rare], return_inverse=True)
+                n_rare = np.diff(np.searchsorted(rare, ends))
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((batch.column("doc_id").slice(a, b - a), pa.int64()), (count, pa.int64()), (total, pa.float64()), (n_rare, pa.int64()), (known, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([base + made]), *lists, pa.array([which.astype(np.int32).tobytes()])], names=["chunk", "ids", "counts", "logs", "n_rare", "words", "which"])
+                made += 1
+
+    return run
 
-    return as_bytes(docs).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+
+def _with_own_counts(key, texts: pa.Table, seen: pa.Table) -> pa.Table:
+    """The rows of a chunk of texts, their rarer words' logarithms of counts added."""
+    row = texts.slice(0, 1).combine_chunks()
+    ids, counts, logs, n_rare, words = (row.column(c).chunk(0).flatten() for c in ("ids", "counts", "logs", "n_rare", "words"))
+    own = np.zeros(len(words))
+    own[seen.column("i").to_numpy()] = np.log(seen.column("n").to_numpy())
+    more = own[np.frombuffer(row.column("which")[0].as_py(), np.int32)]
+    ends = np.concatenate([[0], np.cumsum(n_rare.to_numpy())])
+    total = logs.to_numpy() + np.diff(np.concatenate([[0.0], np.cumsum(more)])[ends])
+    count = counts.to_numpy()
+    return pa.table({"doc_id": ids, "n_tokens": count, "log_likelihood": total, "per_token": total / np.maximum(count, 1)})
+
+
+def score(docs: DataFrame, words_of: Vocabulary, net: Network) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, per_token) for each row: the sum of every word's conditional log probability.
+
+    per_token is the mean, 0 for a text without words, as null and empty ones are. Rows that repeat are each scored;
+    other columns are not looked at. Counts of rarer words are joined in; each chunk of texts asks once for a word.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((words_of, net))
+    texts = cut(as_bytes(docs).mapInArrow(_network_scores(held), "chunk long, ids array<long>, counts array<long>, logs array<double>, n_rare array<long>, words array<long>, which binary"))
+    asked = texts.select("chunk", F.posexplode("words").alias("i", "h"))
+    # a count of one adds nothing, nor does a word that the corpus does not have
+    seen = asked.join(words_of.words.filter("n > 1"), "h").select(F.col("chunk").alias("of"), "i", "n")
+    return texts.groupBy("chunk").cogroup(seen.groupBy("of")).applyInArrow(_with_own_counts, "doc_id long, n_tokens long, log_likelihood double, per_token double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -206,6 +206,30 @@ def test_language_model(spark, odd, empty):
     assert lm.score(empty, lm.vocabulary(empty), lm.train(empty, lm.vocabulary(empty))).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    often = " ".join(f"w{i}" for i in range(600)) + " "
+    docs = spark.createDataFrame([(i, often * 3) for i in range(30)] + [(100, "seldom " * 40), (101, "scarce"), (102, "absent here")], "doc_id long, text string")
+    corpus = docs.filter("doc_id < 102")
+    words = lm.vocabulary(corpus)
+    assert len(words.counts) > lm.TOKENS and len(words.hashes) == 602 and len(lm.vocabulary(docs.filter("doc_id > 99")).counts) == lm.TOKENS
+    # as many tokens as the smallest network has: all but the first words are in cells
+    few = lm.Vocabulary(words.hashes[words.tokens < 480], words.tokens[words.tokens < 480], np.full(lm.TOKENS, 1.0), words.words)
+    count = {r.h: r.n for r in words.words.collect()}
+    for h, n in count.items():
+        few.counts[few(np.array([h]))[0]] += n
+    texts = ["seldom", "scarce", "absent", *(f"w{i}" for i in range(600))]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = lm.start(few.counts)
+    got = {texts[r.doc_id]: np.exp(r.log_likelihood) for r in lm.score(asked, few, net).collect()}
+    assert sum(p for w, p in got.items() if w != "absent") <= 1
+    h = lm.word_hashes(*(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])))[0]
+    token = few(h)
+    alone = np.exp(lm.log_probabilities(net, np.full((len(h), 2 * lm.WINDOW), lm.TOKENS, np.int32), token))
+    own = np.array([max(1, count.get(x, 0)) for x in h.tolist()])
+    assert np.allclose([got[w] for w in texts], np.where(token >= 480, alone * own / few.counts[token], alone), rtol=1e-4)
+    assert own[0] == 40 and own[1] == own[2] == 1 and (token[:3] >= 480).all()
+
+
 def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(7)
     net = lm.start(np.ones(lm.TOKENS))
