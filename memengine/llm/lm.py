@@ -28,8 +28,8 @@ CELLS = 6
 #: A word that makes up one in FREQUENT * root(corpus words) of the corpus is frequent.
 FREQUENT = 4
 WINDOW, WIDTH = 2, 16
-#: Every STRIDE-th place of every document is trained on; rounds over the corpus; places of a gradient step, and its size.
-STRIDE, ROUNDS, STEP, RATE = 6, 1, 1024, 2.0
+#: Rounds over the corpus; places of a gradient step, and its size.
+ROUNDS, STEP, RATE = 1, 6144, 2.0
 _SOLID = lookup(lambda c: c not in b" \t\n\r\x0b\x0c")
 
 
@@ -137,10 +137,21 @@ def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = np.exp(z - z.max(1, keepdims=True))
-    total = e.sum(1, keepdims=True)
-    return e / total, total
+def _by_class(tokens: np.ndarray, members: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of places by class; class and member of each place in that order; where each class starts."""
+    of_class, member = np.divmod(tokens, members)
+    order = np.argsort(of_class.astype(np.uint16), kind="stable")
+    of_class = of_class[order]
+    return order, of_class, member[order], np.searchsorted(of_class, np.arange(classes + 1))
+
+
+def _exp(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outputs, places): what goes into the softmax, less the largest of each place; its exponential; the sums of that."""
+    z = w.T @ x.T
+    z += b[:, None]
+    z -= z.max(0)
+    e = np.exp(z)
+    return z, e, e.sum(0)
 
 
 def _read(net: Network, around: np.ndarray) -> np.ndarray:
@@ -152,43 +163,39 @@ def _read(net: Network, around: np.ndarray) -> np.ndarray:
 
 def log_probabilities(net: Network, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token given its neighbours."""
-    x = _read(net, around)
-    place = np.arange(len(tokens))
-    of_class, member = np.divmod(tokens, net.w2.shape[2])
-    z = x @ net.w1 + net.b1
-    z -= z.max(1, keepdims=True)
-    out = z[place, of_class] - np.log(np.exp(z).sum(1))
-    order = np.argsort(of_class, kind="stable")
-    bounds = np.searchsorted(of_class[order], np.arange(len(net.w2) + 1))
-    for c in range(len(net.w2)):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            z = x[rows] @ net.w2[c] + net.b2[c]
-            z -= z.max(1, keepdims=True)
-            out[rows] += z[np.arange(len(rows)), member[rows]] - np.log(np.exp(z).sum(1))
+    order, of_class, member, bounds = _by_class(tokens, net.w2.shape[2], len(net.w2))
+    x = _read(net, around[order])
+    z, _, total = _exp(x, net.w1, net.b1)
+    made = z[of_class, np.arange(len(tokens))] - np.log(total)
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = bounds[c : c + 2]
+        z, _, total = _exp(x[a:b], net.w2[c], net.b2[c])
+        made[a:b] += z[member[a:b], np.arange(b - a)] - np.log(total)
+    out = np.empty_like(made)
+    out[order] = made
     return out
 
 
 def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
     """One gradient step, in place, on the mean negative log probability."""
     n = len(tokens)
+    order, of_class, member, bounds = _by_class(tokens, net.w2.shape[2], len(net.w2))
+    around = around[order]
     x = _read(net, around)
-    of_class, member = np.divmod(tokens, net.w2.shape[2])
-    p, _ = _softmax(x @ net.w1 + net.b1)
-    p[np.arange(n), of_class] -= 1
-    dx = p @ net.w1.T
-    net.w1 -= rate / n * (x.T @ p)
-    net.b1 -= rate / n * p.sum(0)
-    order = np.argsort(of_class, kind="stable")
-    bounds = np.searchsorted(of_class[order], np.arange(len(net.w2) + 1))
-    for c in range(len(net.w2)):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            p, _ = _softmax(x[rows] @ net.w2[c] + net.b2[c])
-            p[np.arange(len(rows)), member[rows]] -= 1
-            dx[rows] += p @ net.w2[c].T
-            net.w2[c] -= rate / n * (x[rows].T @ p)
-            net.b2[c] -= rate / n * p.sum(0)
+    _, p, total = _exp(x, net.w1, net.b1)
+    p /= total
+    p[of_class, np.arange(n)] -= 1
+    dx = p.T @ net.w1.T
+    net.w1 -= rate / n * (p @ x).T
+    net.b1 -= rate / n * p.sum(1)
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = bounds[c : c + 2]
+        _, p, total = _exp(x[a:b], net.w2[c], net.b2[c])
+        p /= total
+        p[member[a:b], np.arange(b - a)] -= 1
+        dx[a:b] += p.T @ net.w2[c].T
+        net.w2[c] -= rate / n * (p @ x[a:b]).T
+        net.b2[c] -= rate / n * p.sum(1)
     dx *= 1 - x * x
     net.hidden -= rate / n * dx.sum(0)
     for k in range(2 * WINDOW):
@@ -198,8 +205,8 @@ def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float
         net.embed[k][at[first]] -= rate / n * 8 * np.add.reduceat(dx[order], first)
 
 
-def _train(net: Network, words_of: Vocabulary, stride: int, rate: float):
-    """Trains on the rows of a partition; returns the weights in slices, each with the places that they have seen."""
+def _train(net: Network, words_of: Vocabulary, rate: float):
+    """Trains on every place of the rows of a partition; returns the weights in slices, each with the places that they have seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, seen = net.filled(net.flat().copy()), 0
@@ -208,12 +215,10 @@ def _train(net: Network, words_of: Vocabulary, stride: int, rate: float):
                 h, count = word_hashes(data, at)
                 tokens = words_of(h)
                 around = contexts(tokens, count, len(words_of.counts))
-                first = np.repeat(np.cumsum(count) - count, count)
-                pick = np.flatnonzero((np.arange(len(tokens)) - first) % stride == stride // 2)
-                for a in range(0, len(pick), STEP):
-                    rows = pick[a : a + STEP]
-                    train_step(mine, around[rows], tokens[rows], rate * len(rows) / STEP)
-                seen += len(pick)
+                for a in range(0, len(tokens), STEP):
+                    rows = slice(a, a + STEP)
+                    train_step(mine, around[rows], tokens[rows], rate * len(tokens[rows]) / STEP)
+                seen += len(tokens)
         if seen:
             flat = mine.flat().astype(np.float64) * seen
             part = np.arange(0, len(flat), 512)
@@ -222,12 +227,12 @@ def _train(net: Network, words_of: Vocabulary, stride: int, rate: float):
     return run
 
 
-def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Network:
+def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
     """Weights averaged over all partitions, each by the places that it trained on; the driver gets one network a round."""
     net = start(words_of.counts)
     size = net.flat().size
     for _ in range(rounds):
-        parts = as_bytes(docs).mapInArrow(_train(net, words_of, stride, rate), "at long, w array<double>, seen long")
+        parts = as_bytes(docs).mapInArrow(_train(net, words_of, rate), "at long, w array<double>, seen long")
         ends = parts.select("at", "seen", F.posexplode("w").alias("i", "w")).groupBy((F.col("at") + F.col("i")).alias("i")).agg((F.sum("w") / F.sum("seen")).alias("w"))
         got = ends.toArrow()
         if got.num_rows:

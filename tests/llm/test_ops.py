@@ -230,6 +230,21 @@ def test_rare_words_have_their_own_probability(spark):
     assert own[0] == 40 and own[1] == own[2] == 1 and (token[:3] >= 480).all()
 
 
+def test_every_place_is_trained_on(spark):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(6000)] + [(9000, "lone")], "doc_id long, text string")
+    words = lm.vocabulary(docs)
+    before, after = (np.array([r.per_token for r in lm.score(docs, words, net).sort("doc_id").collect()]) for net in (lm.start(words.counts), lm.train(docs, words)))
+    assert (after[:6000] > before[:6000]).all()
+    # columns of a table of six: the first five have training targets too
+    rows = spark.createDataFrame([(i, "a b c d e f " * 200) for i in range(60)], "doc_id long, text string")
+    words = lm.vocabulary(rows)
+    net, start = lm.train(rows, words), lm.start(words.counts)
+    data = np.frombuffer(b"a b c d e f a b c d e f ", np.uint8)
+    tokens = words(lm.word_hashes(data, np.array([0, len(data)]))[0])
+    around = lm.contexts(tokens, np.array([len(tokens)]), len(words.counts))
+    assert (lm.log_probabilities(net, around, tokens)[2:10] > lm.log_probabilities(start, around, tokens)[2:10]).all()
+
+
 def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(7)
     net = lm.start(np.ones(lm.TOKENS))
