@@ -296,3 +296,18 @@ def test_search_and_snippets(spark):
     assert {(r.phrase_id, r.doc_id, r.tf) for r in ix.phrase_hits(phrases, index).collect()} == {(1, "m1", 1), (3, "m1", 1), (3, "m2", 1), (3, "m3", 1)}
     changed = ix.update_index(index, messages.filter("doc_id = 'm2'").withColumn("text", F.lit("nothing")), messages.filter("doc_id = 'm3'"), stemmed=True)
     assert ix.index_health(messages, changed).first().asDict() == {"n_table": 3, "n_index": 2, "missing": 1, "stale": 0, "sound": False}
+
+
+def test_only_rows_that_can_fit_are_rendered(spark):
+    rng = random.Random(3)
+    texts = ["", " \n\u2003\x1c", None, "Short one.", "A sentence here. Another there! " * 9, "x" * 700, "\u00e9 \u200b"]
+    rows = [(q, f"d{i:0{1 + i % 3}}", rng.choice(["memory", None, "note"]), "low", rng.choice(["", None, "p", "longer-slug"]), rng.choice(texts), i) for q in (1, 2, 3) for i in range(1, 1200)]
+    chosen = spark.createDataFrame(rows, "query_id long, doc_id string, source_kind string, trust_level string, project_slug string, scrubbed string, slot int")
+    queries = spark.createDataFrame([(1, 4000), (2, 700), (3, 40), (4, 4000)], "query_id long, budget int")
+    pairs = chosen.join(queries, "query_id")
+    all_rows, fold = pairs.toPandas(), render._context(render.MARKER)
+    want = {q: tuple(fold(g).iloc[0][["context", "n_blocks", "codepoints"]]) for q, g in all_rows.groupby("query_id")}
+    got = {r.query_id: (r.context, r.n_blocks, r.codepoints) for r in render.render_context(chosen, queries).collect()}
+    assert got == want | {4: ("", 0, 0)} and got[1][1] > 3
+    held = render.may_fit(pairs)
+    assert held.columns == pairs.columns and held.filter("query_id = 2").count() < 400 and held.filter("query_id = 3").count() <= 30
