@@ -131,10 +131,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose language some one-versus-rest output claims (score of ``least`` or more), with all their columns.
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows that have a language (with a score of ``least`` or more), with all their columns.
 
-    Texts without a letter go. Where there is nothing to learn from, no other text does. A row without an id stays.
+    Texts without a letter go. Where there is nothing to learn from, no other text does. A row without an id stays. The
+    outputs of a short text are all low, however clear its language is: a score is no reason to drop a document.
     """
     model = learn(docs)
     found = identify(docs, model) if model else docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.lit(1.0).alias("score"))

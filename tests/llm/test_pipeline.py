@@ -36,6 +36,14 @@ def test_stages_do_what_the_operators_decide(spark):
     assert sorted({r.doc_id for r in packed.collect()}) == ids(kept)
 
 
+def test_short_documents_have_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = [(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(["This.", "Re.", "Thtion.", "The esingor.", "Ereaea.", "12 34"])]
+    docs = docs.union(spark.createDataFrame(short, docs.schema))
+    gone = set(ids(docs)) - set(ids(langid.keep_identified(docs)))
+    assert gone == {r.doc_id for r in docs.filter(~docs.text.rlike(r"\p{L}") | docs.text.isNull()).collect()} and 10**6 + 5 in gone
+
+
 def test_run_and_odd_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150
