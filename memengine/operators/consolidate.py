@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from memengine.functions.text import MAX_MEMORY, preview_slug
 
 MOST_SESSIONS, MOST_CHARS, GRACE_DAYS = 200, 200_000, 21
+#: Ids of a range that a task numbers.
+RANGE = 10_000
 
 
 def collect_batch(distilled: DataFrame, sessions: DataFrame, ledger: DataFrame, since: str | None = None, limit: int | None = MOST_SESSIONS) -> DataFrame:
@@ -66,9 +68,12 @@ def bind(suggestions: DataFrame, memory: DataFrame) -> DataFrame:
 
 def previews(suggestions: DataFrame, day: str, already: int = 0) -> DataFrame:
     """With sug_file, the name of each one's preview: numbers go on after the day's earlier ones, in order of id."""
-    n = F.row_number().over(W.orderBy("id")) + already
+    ranged = suggestions.withColumn("_range", F.floor(F.col("id") / RANGE))
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_rows")).select("_of", before.alias("_before"))
+    n = F.row_number().over(W.partitionBy("_range").orderBy("id")) + F.col("_before") + already
     name = F.concat(F.lit(f"{day}-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")), F.lit("-"), "kind", F.lit("-"), preview_slug(F.replace(F.lower("target_path"), F.lit(".md"), F.lit(""))), F.lit(".md"))
-    return suggestions.withColumn("sug_file", name)
+    return ranged.join(offsets, F.col("_range").eqNullSafe(F.col("_of"))).withColumn("sug_file", name).select(*suggestions.columns, "sug_file")
 
 
 def ledger_rows(fitted: DataFrame, run_id: str) -> DataFrame:

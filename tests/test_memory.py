@@ -311,3 +311,13 @@ def test_only_rows_that_can_fit_are_rendered(spark):
     assert got == want | {4: ("", 0, 0)} and got[1][1] > 3
     held = render.may_fit(pairs)
     assert held.columns == pairs.columns and held.filter("query_id = 2").count() < 400 and held.filter("query_id = 3").count() <= 30
+
+
+def test_previews_are_numbered_over_ranges(spark):
+    ids = random.Random(4).sample(range(200_000), 1500)
+    rows = spark.createDataFrame([(i, "new", "A b.md") for i in ids], "id long, kind string, target_path string")
+    made = consolidate.previews(rows, "2024-02-01", already=7)
+    want = {i: f"2024-02-01-{n:03}-new-" for n, i in enumerate(sorted(ids), 8)}
+    assert made.columns == [*rows.columns, "sug_file"] and all(r.sug_file.startswith(want.pop(r.id)) for r in made.collect()) and not want
+    windows = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_range" in windows
