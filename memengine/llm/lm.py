@@ -2,15 +2,17 @@
 
 A token is a word: one of the frequent words of the corpus, or one of the cells that rarer words hash into; the number
 of tokens follows the corpus. A rarer word has its cell's probability times its own share of the cell, from the corpus
-counts, so that every word is scored as itself. The network reads WINDOW tokens on each side of a masked place, each through an embedding table of its own distance, adds
-them, and predicts the token in two steps, its class and its place in the class. Corpus counts choose the vocabulary
-and the first output weights; then every partition trains on all its documents, and the weights are averaged.
+counts, so that every word is scored as itself. The network reads WINDOW tokens on each side of a masked place, each
+through an embedding table of its own distance, adds them, and predicts the token by the turns of its path in a binary
+tree (a hierarchical softmax: the probabilities of all tokens sum to one). Corpus counts choose the vocabulary, the tree
+and the first output weights; then tasks train on all their documents, and their weights are averaged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from math import isqrt
 
 import numpy as np
@@ -19,17 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, lookup, span_hash, table, words
+from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, hash_filter, lookup, passes, span_hash, table, words
 
-#: The fewest tokens: classes x members, as many of either. A larger corpus doubles both until its frequent words have room.
-TOKENS = 24 * 24
-#: One token in so many is a cell of rarer words.
-CELLS = 6
-#: A word that makes up one in FREQUENT * root(corpus words) of the corpus is frequent.
-FREQUENT = 4
+#: Tokens come in steps of so many; one in CELLS is a cell of rarer words.
+TOKENS, CELLS = 24 * 24, 6
+#: A word that makes up one in FREQUENT * root(corpus words) of the corpus is frequent, and has a token of its own. A network that
+#: has to fit in every task has LARGEST tokens at most; further words are in cells, with counts of their own like any there.
+FREQUENT, LARGEST = 32, 576 * 228
 WINDOW, WIDTH = 2, 16
-#: Rounds over the corpus; places of a gradient step, and its size.
-ROUNDS, STEP, RATE = 1, 6144, 2.0
+#: Rounds over the corpus; places of a gradient step, and its size; places for each token that a task trains on at least, if it can.
+ROUNDS, STEP, RATE, PLACES = 1, 6144, 0.1, 256
+#: Slices that a network's weights are averaged in, and networks that meet at once.
+SLICES, MEET = 64, 32
 _SOLID = lookup(lambda c: c not in b" \t\n\r\x0b\x0c")
 
 
@@ -77,9 +80,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = cut(as_bytes(docs).mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counts.filter(F.col("n") * FREQUENT >= isqrt(total)).count()
-    size = TOKENS
-    while size - size // CELLS < frequent:
-        size *= 4
+    size = min(LARGEST, TOKENS * max(1, -(-frequent * CELLS // ((CELLS - 1) * TOKENS))))
     cells = size // CELLS
     top = counts.orderBy(F.desc("n"), "h").limit(size - cells).toArrow()
     h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
@@ -94,17 +95,54 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return made
 
 
+@dataclass
+class Tree:
+    """The paths of tokens from the root of a Huffman tree: path i is turn[first[i] : first[i + 1]], at nodes ``node``."""
+
+    first: np.ndarray
+    node: np.ndarray
+    turn: np.ndarray  # 1 or -1
+
+    def paths(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all turns of the tokens' paths, one path after the other: place of the token, node, turn; where each path starts."""
+        n = self.first[tokens + 1] - self.first[tokens]
+        start = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(self.first[tokens] - start, n)
+        return np.repeat(np.arange(len(tokens)), n), self.node[at], self.turn[at], start
+
+
+def huffman(counts: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """The tree of shortest mean paths, and for each node the log odds of a turn of 1."""
+    n = len(counts)
+    weight = [*counts.tolist(), *[0.0] * (n - 1)]
+    up, side, odds = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.float32), np.zeros(n - 1, np.float32)
+    heap = [(w, i) for i, w in enumerate(counts.tolist())]
+    heapify(heap)
+    for made in range(n, 2 * n - 1):
+        (low, a), (high, b) = heappop(heap), heappop(heap)
+        weight[made] = low + high
+        up[[a, b]], side[a], side[b], odds[made - n] = made, -1, 1, np.log(high / low)
+        heappush(heap, (weight[made], made))
+    at, tokens, found = np.arange(n), np.arange(n), []
+    while len(tokens):  # a step up for all tokens at once
+        above = up[at]
+        on = above >= 0
+        found.append((tokens[on], above[on] - n, side[at[on]]))
+        at, tokens = above[on], tokens[on]
+    token, node, turn = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(token, kind="stable")
+    return Tree(np.concatenate([[0], np.cumsum(np.bincount(token, minlength=n))]), node[order].astype(np.int32), turn[order]), odds
+
+
 @dataclass
 class Network:
+    tree: Tree
     embed: np.ndarray  # (2 * WINDOW, tokens + 1, WIDTH); the last row stands beyond both ends of a document
     hidden: np.ndarray  # (WIDTH,) bias
-    w1: np.ndarray  # (WIDTH, classes)
-    b1: np.ndarray
-    w2: np.ndarray  # (classes, WIDTH, members)
-    b2: np.ndarray  # (classes, members)
+    output: np.ndarray  # (nodes, WIDTH + 1); the last column is the bias
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.hidden, self.w1, self.b1, self.w2, self.b2]
+        return [self.embed, self.hidden, self.output]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
@@ -114,17 +152,15 @@ class Network:
         for x in self.arrays():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return Network(*out)
+        return Network(self.tree, *out)
 
 
 def start(counts: np.ndarray, seed: int = 0) -> Network:
     """Random embeddings, and output weights that give each token its share of the corpus."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    n = isqrt(len(counts))
-    share = (counts / counts.sum()).reshape(n, n)
-    of_class = share.sum(1)
-    return Network(draw(2 * WINDOW, n * n + 1, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, n), np.log(of_class).astype(np.float32), draw(n, WIDTH, n), np.log(share / of_class[:, None]).astype(np.float32))
+    tree, odds = huffman(counts)
+    return Network(tree, draw(2 * WINDOW, len(counts) + 1, WIDTH), np.zeros(WIDTH, np.float32), np.concatenate([np.zeros((len(odds), WIDTH), np.float32), odds[:, None]], axis=1))
 
 
 def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
@@ -137,23 +173,6 @@ def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
     return out
 
 
-def _by_class(tokens: np.ndarray, members: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """An order of places by class; class and member of each place in that order; where each class starts."""
-    of_class, member = np.divmod(tokens, members)
-    order = np.argsort(of_class.astype(np.uint16), kind="stable")
-    of_class = of_class[order]
-    return order, of_class, member[order], np.searchsorted(of_class, np.arange(classes + 1))
-
-
-def _exp(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(outputs, places): what goes into the softmax, less the largest of each place; its exponential; the sums of that."""
-    z = w.T @ x.T
-    z += b[:, None]
-    z -= z.max(0)
-    e = np.exp(z)
-    return z, e, e.sum(0)
-
-
 def _read(net: Network, around: np.ndarray) -> np.ndarray:
     x = net.embed[0][around[:, 0]]
     for k in range(1, 2 * WINDOW):
@@ -163,86 +182,107 @@ def _read(net: Network, around: np.ndarray) -> np.ndarray:
 
 def log_probabilities(net: Network, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token given its neighbours."""
-    order, of_class, member, bounds = _by_class(tokens, net.w2.shape[2], len(net.w2))
-    x = _read(net, around[order])
-    z, _, total = _exp(x, net.w1, net.b1)
-    made = z[of_class, np.arange(len(tokens))] - np.log(total)
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[c : c + 2]
-        z, _, total = _exp(x[a:b], net.w2[c], net.b2[c])
-        made[a:b] += z[member[a:b], np.arange(b - a)] - np.log(total)
-    out = np.empty_like(made)
-    out[order] = made
-    return out
+    x = _read(net, around)
+    place, node, turn, first = net.tree.paths(tokens)
+    out = net.output[node]
+    z = np.einsum("ij,ij->i", x[place], out[:, :WIDTH])
+    z += out[:, WIDTH]
+    z *= -turn
+    return -np.add.reduceat(np.logaddexp(0, z), first) if len(first) else z
+
 
+def _add_at(rows: np.ndarray, seen: np.ndarray, at: np.ndarray, values: np.ndarray, rate: float) -> None:
+    """rows[at] += rate * values, summed where ``at`` repeats, and over the root of the squares that a row has ``seen``."""
+    order = np.argsort(at.astype(np.uint16) if len(rows) <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    total, at = np.add.reduceat(values[order], first), at[first]
+    seen[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    rows[at] += rate * total / np.sqrt(seen[at] + 1e-8)[:, None]
 
-def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
-    """One gradient step, in place, on the mean negative log probability."""
-    n = len(tokens)
-    order, of_class, member, bounds = _by_class(tokens, net.w2.shape[2], len(net.w2))
-    around = around[order]
+
+def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float, seen: list[np.ndarray] | None = None) -> None:
+    """One gradient step, in place, on the sum of log probabilities; steps of a row shrink by the root of its squares (AdaGrad).
+
+    ``seen`` has those sums of squares from step to step; without it, each step stands alone.
+    """
+    seen = fresh(net) if seen is None else seen
     x = _read(net, around)
-    _, p, total = _exp(x, net.w1, net.b1)
-    p /= total
-    p[of_class, np.arange(n)] -= 1
-    dx = p.T @ net.w1.T
-    net.w1 -= rate / n * (p @ x).T
-    net.b1 -= rate / n * p.sum(1)
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[c : c + 2]
-        _, p, total = _exp(x[a:b], net.w2[c], net.b2[c])
-        p /= total
-        p[member[a:b], np.arange(b - a)] -= 1
-        dx[a:b] += p.T @ net.w2[c].T
-        net.w2[c] -= rate / n * (p @ x[a:b]).T
-        net.b2[c] -= rate / n * p.sum(1)
-    dx *= 1 - x * x
-    net.hidden -= rate / n * dx.sum(0)
+    place, node, turn, first = net.tree.paths(tokens)
+    there, out = x[place], net.output[node]
+    z = np.einsum("ij,ij->i", there, out[:, :WIDTH])
+    z += out[:, WIDTH]
+    pull = turn / (1 + np.exp(turn * z))
+    dx = np.add.reduceat(out[:, :WIDTH] * pull[:, None], first) * (1 - x * x)
+    step = np.empty((len(node), WIDTH + 1), np.float32)
+    np.multiply(there, pull[:, None], out=step[:, :WIDTH])
+    step[:, WIDTH] = pull
+    _add_at(net.output, seen[-1], node, step, rate)
+    total = dx.sum(0)
+    seen[0] += total @ total / WIDTH
+    net.hidden += rate * total / np.sqrt(seen[0] + 1e-8)
     for k in range(2 * WINDOW):
-        order = np.argsort(around[:, k].astype(np.uint16) if len(net.embed[k]) <= 1 << 16 else around[:, k], kind="stable")
-        at = around[order, k]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        net.embed[k][at[first]] -= rate / n * 8 * np.add.reduceat(dx[order], first)
+        _add_at(net.embed[k], seen[1 + k], around[:, k], dx, rate)
+
+
+def fresh(net: Network) -> list[np.ndarray]:
+    """Sums of squares of gradients before the first step: of the hidden bias, each embedding and each node."""
+    return [np.zeros(1, np.float32), *np.zeros(net.embed.shape[:2], np.float32), np.zeros(len(net.output), np.float32)]
 
 
-def _train(net: Network, words_of: Vocabulary, rate: float):
+def _train(held, rate: float):
     """Trains on every place of the rows of a partition; returns the weights in slices, each with the places that they have seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of, net = held.value
         mine, seen = net.filled(net.flat().copy()), 0
+        squares = fresh(mine)
         for batch in batches:
             for _, _, data, at in chunks(batch.column("body")):
                 h, count = word_hashes(data, at)
                 tokens = words_of(h)
                 around = contexts(tokens, count, len(words_of.counts))
                 for a in range(0, len(tokens), STEP):
-                    rows = slice(a, a + STEP)
-                    train_step(mine, around[rows], tokens[rows], rate * len(tokens[rows]) / STEP)
+                    train_step(mine, around[a : a + STEP], tokens[a : a + STEP], rate, squares)
                 seen += len(tokens)
         if seen:
-            flat = mine.flat().astype(np.float64) * seen
-            part = np.arange(0, len(flat), 512)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.split(flat, part[1:]), pa.list_(pa.float64())), pa.array(np.full(len(part), seen))], names=["at", "w", "seen"])
+            slices = [x.tobytes() for x in np.array_split(mine.flat(), SLICES)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(SLICES, task)), pa.array(np.arange(SLICES)), pa.array(slices, pa.binary()), pa.array(np.full(SLICES, float(seen)))], names=["task", "at", "w", "seen"])
 
     return run
 
 
+def _mean(key, rows: pa.Table) -> pa.Table:
+    """The mean of a slice's weights over some tasks, each by the places that it has seen."""
+    seen = rows.column("seen").to_numpy()
+    total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n for w, n in zip(rows.column("w"), seen, strict=True))
+    task = rows.column("task")[0].as_py() // MEET
+    return pa.table({"task": [task], "at": [key[0].as_py()], "w": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary()), "seen": [seen.sum()]})
+
+
 def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
-    """Weights averaged over all partitions, each by the places that it trained on; the driver gets one network a round."""
-    net = start(words_of.counts)
-    size = net.flat().size
+    """Weights averaged over all tasks, each by the places that it trained on; the driver gets one network a round.
+
+    A larger network is trained in larger tasks, so that the weights that leave them stay a like share of the corpus. The
+    mean is taken of MEET tasks at a time. It depends on which documents a task has, as the order of any training does.
+    """
+    net, shape = start(words_of.counts), "task long, at long, w binary, seen double"
+    places, bodies = words_of.counts.sum() - TOKENS, as_bytes(docs)
+    tasks = max(1, int(places // (PLACES * len(words_of.counts))))
+    bodies = bodies.coalesce(tasks) if tasks < bodies.rdd.getNumPartitions() else bodies
     for _ in range(rounds):
-        parts = as_bytes(docs).mapInArrow(_train(net, words_of, rate), "at long, w array<double>, seen long")
-        ends = parts.select("at", "seen", F.posexplode("w").alias("i", "w")).groupBy((F.col("at") + F.col("i")).alias("i")).agg((F.sum("w") / F.sum("seen")).alias("w"))
-        got = ends.toArrow()
-        if got.num_rows:
-            flat = np.zeros(size)
-            flat[got.column("i").to_numpy()] = got.column("w").to_numpy()
-            net = net.filled(flat)
+        held = docs.sparkSession.sparkContext.broadcast((words_of, net))
+        means, left = bodies.mapInArrow(_train(held, rate), shape), bodies.rdd.getNumPartitions()
+        while left > 1:
+            means, left = means.groupBy("at", F.floor(F.col("task") / MEET)).applyInArrow(_mean, shape), -(-left // MEET)
+        got = means.select("at", "w").toPandas().sort_values("at")
+        if len(got):
+            net = net.filled(np.concatenate([np.frombuffer(w, np.float32) for w in got["w"]]))
     return net
 
 
-def _network_scores(held):
+def _network_scores(held, often):
     """A row for each chunk of texts: what the network gives them, the rarer words, and which of those each text has.
 
     log_likelihood has, for a rarer word, its cell's probability over the cell's count and one for a word that the
@@ -263,6 +303,7 @@ def _network_scores(held):
                 ends = np.concatenate([[0], np.cumsum(count)])
                 total = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])[ends])
                 rare = np.flatnonzero(tokens >= words_of.first_cell)
+                rare = rare[passes(often.value, h[rare])]  # words that may have a count of over one
                 known, which = np.unique(h[rare], return_inverse=True)
                 n_rare = np.diff(np.searchsorted(rare, ends))
                 lists = [pa.array([x], pa.list_(t)) for x, t in ((batch.column("doc_id").slice(a, b - a), pa.int64()), (count, pa.int64()), (total, pa.float64()), (n_rare, pa.int64()), (known, pa.int64()))]
@@ -291,11 +332,13 @@ def score(docs: DataFrame, words_of: Vocabulary, net: Network) -> DataFrame:
     per_token is the mean, 0 for a text without words, as null and empty ones are. Rows that repeat are each scored;
     other columns are not looked at. Counts of rarer words are joined in; each chunk of texts asks once for a word.
     """
-    held = docs.sparkSession.sparkContext.broadcast((words_of, net))
-    texts = cut(as_bytes(docs).mapInArrow(_network_scores(held), "chunk long, ids array<long>, counts array<long>, logs array<double>, n_rare array<long>, words array<long>, which binary"))
+    sc = docs.sparkSession.sparkContext
+    held, repeated = sc.broadcast((words_of, net)), words_of.words.filter("n > 1")
+    often = sc.broadcast(hash_filter(repeated, "h"))
+    texts = cut(as_bytes(docs).mapInArrow(_network_scores(held, often), "chunk long, ids array<long>, counts array<long>, logs array<double>, n_rare array<long>, words array<long>, which binary"))
     asked = texts.select("chunk", F.posexplode("words").alias("i", "h"))
     # a count of one adds nothing, nor does a word that the corpus does not have
-    seen = asked.join(words_of.words.filter("n > 1"), "h").select(F.col("chunk").alias("of"), "i", "n")
+    seen = asked.join(repeated, "h").select(F.col("chunk").alias("of"), "i", "n")
     return texts.groupBy("chunk").cogroup(seen.groupBy("of")).applyInArrow(_with_own_counts, "doc_id long, n_tokens long, log_likelihood double, per_token double")
 
 

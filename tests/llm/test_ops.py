@@ -245,6 +245,47 @@ def test_every_place_is_trained_on(spark):
     assert (lm.log_probabilities(net, around, tokens)[2:10] > lm.log_probabilities(start, around, tokens)[2:10]).all()
 
 
+def test_a_score_is_the_sum_of_a_plain_loop(spark):
+    texts = ["a b c a b", "B c zz a", "", None, "a " * 300, "once\tonly b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    words = lm.vocabulary(docs)
+    net = lm.train(docs, words)
+    count = {r.h: r.n for r in words.words.collect()}
+    for row in lm.score(docs, words, net).collect():
+        said = [w.lower().encode() for w in (texts[row.doc_id] or "").split()]
+        tokens = [int(words(lm.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0])[0]) for w in said]
+        total = 0.0
+        for i, token in enumerate(tokens):
+            x = net.hidden.astype(float).copy()
+            for k, d in enumerate((-2, -1, 1, 2)):
+                x += net.embed[k][tokens[i + d] if 0 <= i + d < len(tokens) else len(words.counts)]
+            x = np.tanh(x)
+            for step in range(net.tree.first[token], net.tree.first[token + 1]):
+                out = net.output[net.tree.node[step]]
+                total -= np.log1p(np.exp(-net.tree.turn[step] * (x @ out[:-1] + out[-1])))
+            if token >= words.first_cell:
+                h = int(lm.word_hashes(np.frombuffer(said[i], np.uint8), np.array([0, len(said[i])]))[0][0])
+                total += np.log(count[h] / (words.counts[token] - lm.TOKENS / len(words.counts) + 1))
+        assert row.n_tokens == len(said) and np.isclose(row.log_likelihood, total, rtol=1e-4, atol=1e-4)
+        assert np.isclose(row.per_token, total / max(1, len(said)), rtol=1e-4, atol=1e-4)
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    learnt, held = docs.filter("doc_id % 10 <> 0"), docs.filter("doc_id % 10 = 0")
+    words = lm.vocabulary(learnt)
+    counted, trained = (lm.score(held, words, net).groupBy().sum("log_likelihood", "n_tokens").first() for net in (lm.start(words.counts), lm.train(learnt, words)))
+    assert trained[0] / trained[1] > counted[0] / counted[1] + 0.2
+
+
+def test_tree_is_a_huffman_tree():
+    tree, odds = lm.huffman(np.array([1.0, 1.0, 2.0, 4.0]))
+    length = np.diff(tree.first)
+    assert length.tolist() == [3, 3, 2, 1] and len(odds) == 3
+    p = [np.prod([1 / (1 + np.exp(-tree.turn[i] * odds[tree.node[i]])) for i in range(*tree.first[t : t + 2])]) for t in range(4)]
+    assert np.allclose(p, [1 / 8, 1 / 8, 2 / 8, 4 / 8])
+
+
 def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(7)
     net = lm.start(np.ones(lm.TOKENS))
