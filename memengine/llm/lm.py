@@ -253,7 +253,7 @@ def _train(held, rate: float):
     return run
 
 
-def _mean(key, rows: pa.Table) -> pa.Table:
+def _mean(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """The mean of a slice's weights over some tasks, each by the places that it has seen."""
     seen = rows.column("seen").to_numpy()
     total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n for w, n in zip(rows.column("w"), seen, strict=True))
