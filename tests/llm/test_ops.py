@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from memengine.llm import decontam, langid, lm, pii, quality, simhash, topk
 from memengine.llm.components import connected_components
@@ -194,6 +196,91 @@ def test_personal_data(spark, odd, empty):
         assert set(base) <= set(every)
 
 
+def slow_spans(text):
+    """The base formats by their definitions, with checks of their own."""
+    def card(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        return 16 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    checks = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) < 256 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", card), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.findall("[0-9]", s)) <= 15),
+    }
+    return [(k, *m.span()) for k, (p, fine) in checks.items() for m in re.finditer(p, text or "") if fine(m[0])]
+
+
+def test_personal_data_of_the_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in pii.query(spark, "/root/testdata/sf0.01").collect():
+        want = slow_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(every) and len(every) == r.n_spans
+
+
+def numbers(rng, n):
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def hidden_data(rng):
+    """(form, kind) of personal data that no base format has."""
+    card = "4" + numbers(rng, 14)
+    card += next(c for c in "0123456789" if pii.luhn(card + c))
+    four = [card[i : i + 4] for i in range(0, 16, 4)]
+    user, host = rng.choice(["ann", "j.smith", "kim99"]), rng.choice([("mail", "com"), ("post", "co", "uk")])
+    ip, phone = [str(rng.randint(0, 255)) for _ in range(4)], [numbers(rng, 2), numbers(rng, 3), numbers(rng, 5)]
+    return rng.choice([
+        (f"{user} at {' dot '.join(host)}", "email"), (f"{user}[at]{'[dot]'.join(host)}", "email"), (f"{user} (at) {'.'.join(host)}", "email"),
+        ("[.]".join(ip), "ip"), (" . ".join(ip), "ip"), ("(.)".join(ip), "ip"), (".".join(four), "card"), ("_".join(four), "card"), (" - ".join(four), "card"),
+        ("0049 " + " ".join(phone), "phone"), ("+" + "/".join(phone), "phone"),
+    ])
+
+
+def plain_numbers(rng):
+    n = lambda k: numbers(rng, k)
+    return rng.choice([f"2024-0{n(1)}-1{n(1)} 10:2{n(1)}:3{n(1)}", f"version 3.{n(2)}.{n(1)}", f"pages {n(2)}-{n(3)}", f"about {n(3)},{n(3)} people", f"look at chapter {n(1)}", f"ratio {n(2)}:{n(2)}:{n(2)}:9{n(2)}", f"room {n(3)}, at noon"])
+
+
+def test_the_method_adds_spans(spark):
+    rng = random.Random(8)
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(200).collect() for w in re.findall("[a-zà-ÿ]+", r.text or "")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    detector = pii.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rows, want = [], {}
+    for i in range(300):
+        form, kind = hidden_data(rng)
+        before = say(8) + ", "
+        rows.append((i, f"{before}{form}; {say(6)} {plain_numbers(rng)} {say(4)}"))
+        want[i] = (kind, len(before), len(before) + len(form))
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), detector).collect()}
+    hit = sum(any(k == want[i][0] and a < want[i][2] and want[i][1] < b for k, a, b in found[i]) for i in want)
+    right = sum(a < want[i][2] and want[i][1] < b for i in want for _, a, b in found[i])
+    assert hit / 300 >= 0.75 and right / sum(map(len, found.values())) >= 0.95, (hit, right, sum(map(len, found.values())))
+    plain = pii.detect(spark.createDataFrame([(i, f"{say(5)} {plain_numbers(rng)} {say(5)}") for i in range(300)], "doc_id long, text string"), detector)
+    assert plain.filter("size(found) > 0").count() <= 9
+
+
+def test_overlaps_in_long_texts():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        taken = pii.Taken(spans)
+        for _ in range(6):
+            a = rng.randrange(66)
+            b = a + rng.randint(1, 5)
+            free = not any(x < b and a < y for x, y in spans)
+            assert taken.free(a, b) == free
+            if free:
+                taken.add(a, b)
+                spans.append((a, b))
+    detector = pii.Detector(pii.Boosted(5.0, []), dict.fromkeys(pii.KINDS, 0.5))
+    text = "".join(f"a{i} at host{i} dot com, 10.0.{i % 256}.7 " for i in range(16_000))
+    began = time.time()
+    base, every = detector.spans(text)
+    assert len(base) == 16_000 and len(every) >= 32_000 and time.time() - began < 30
+
+
 def test_language_model(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = lm.vocabulary(docs)
@@ -278,6 +365,19 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     assert trained[0] / trained[1] > counted[0] / counted[1] + 0.2
 
 
+def test_weights_are_the_mean_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PLACES", 1e-9)
+    monkeypatch.setattr(lm, "MEET", 2)
+    docs = spark.createDataFrame([(i, "a b " * (i + 1)) for i in range(5)], "doc_id long, text string").repartition(5, "doc_id")
+    words = lm.vocabulary(docs)
+    whole = lm.train(docs, words).flat()
+    parts = [(i + 1, lm.train(docs.filter(f"doc_id = {i}"), words).flat()) for i in range(5)]
+    shares = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    mean = sum(n * w for n, w in parts) / 15
+    assert shares < 5 or np.allclose(whole, mean, atol=1e-5)
+    assert (whole != lm.start(words.counts).flat()).any()
+
+
 def test_tree_is_a_huffman_tree():
     tree, odds = lm.huffman(np.array([1.0, 1.0, 2.0, 4.0]))
     length = np.diff(tree.first)
