@@ -104,6 +104,61 @@ def test_simhash(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_set(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)}
+
+
+@pytest.fixture(scope="module")
+def near_copies():
+    """Documents and copies of them with words replaced, in steps from hardly to clearly different."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for n in (9, 12, 30, 60, 150, 400, 900):
+        for _ in range(4):
+            words = [rng.choice(vocabulary) for _ in range(n)]
+            rows.append(" ".join(words))
+            for share in (0.01, 0.02, 0.03, 0.06, 0.2):
+                copy = list(words)
+                for i in rng.sample(range(n), max(1, round(share * n))):
+                    copy[i] = rng.choice(vocabulary)
+                rows.append(" ".join(copy))
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("how", [{}, {"family": 2}, {"bucket": 2}])
+def test_similar_documents_are_the_brute_force(spark, near_copies, how):
+    sets = {i: shingle_set(t) for i, t in near_copies}
+    pairs = [(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(*r, "x") for r in near_copies], "doc_id long, text string, component_id string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, **how).collect()}
+    assert got == components(sets, pairs) and 20 < len({(i, j) for i, j in pairs})
+
+
+def test_near_copies_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    together = {(i, j) for ids in where.values() for i in ids for j in ids if j < i}
+    pairs = [(i, j) for i, j in together if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    want = components(sets, pairs)
+    missed = sum(got[i] != want[i] for i in want)
+    assert len(pairs) > 20 and missed <= 0.05 * sum(want[i] != i for i in want) and all(want[got[i]] == want[i] for i in got)
+
+
+def test_odd_near_copies(spark, odd, empty):
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar_documents(odd).collect())
+    want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 5, 10: 10, 70: 70}
+    assert got == sorted([(str(i), str(c)) for i, c in want.items()] + [("5", "5"), ("None", "70")])
+    assert simhash.similar_documents(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
 def slow_contamination(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = words(text), set(), set()

@@ -27,7 +27,7 @@ def test_stages_do_what_the_operators_decide(spark):
     seen = [x for _, r in sorted(got.items()) for line in r.text.split("\n") if (x := " ".join(re.findall("[a-z0-9\x80-\U0010ffff]+", line.lower())))]
     assert len(seen) == len(set(seen))
     now, kept = kept, stages["near_dedup"](spark, kept, SF).cache()
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(now).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_documents(now).collect()}
     assert ids(kept) == sorted(set(groups.values()))
     now, kept = kept, stages["decontaminate"](spark, kept, SF).cache()
     bad = {r.doc_id for r in decontam.contamination(now, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.contaminated}
