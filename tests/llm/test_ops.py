@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from memengine.llm import decontam, langid, lm, pii, quality, simhash, topk
+from memengine.llm import common, decontam, langid, lm, pii, quality, simhash, topk
 from memengine.llm.components import connected_components
 from memengine.llm.hamming import hamming_links, masks, star_links
 
@@ -193,18 +193,36 @@ def test_contamination_is_the_brute_force(spark, odd, empty):
 
 def test_topk(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [1.0] * 6), (150, [1e30] * 6), (7, [2.0] * 6)]
+    rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [1.0] * 6), (150, [1e30] * 6), (7, [2.0] * 6), (151, [-1e30, 3e38, 1.0]), (250, [1e30, -1e30, 1e15, -1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     sparse = topk.sparse_rows(df)
-    got = topk.exact_topk(sparse.filter("vec_id % 50 = 0"), sparse, 5, candidates=40, block=2).collect()
-    fine = [(i, np.clip(np.floor(256 * np.array(v, np.float32).astype(float)), -topk.LARGEST, topk.LARGEST).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    got = topk.exact_topk(sparse.filter("vec_id % 50 = 0"), sparse, 5, candidates=40 * 6 * topk.ENTRY, block=2 * 6 * topk.ENTRY).collect()
+    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
     for q, v in fine:
         if q % 50 == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in fine if i != q), key=lambda x: (x[0], x[1]))[:5]
-            want |= {(q, k + 1, i, -int(s)) for k, (s, i) in enumerate(scores)}
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=False)), topk.LOWEST), topk.LARGEST), i) for i, w in fine if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
     assert {tuple(r) for r in got} == want
     assert topk.exact_topk(sparse.limit(0), sparse).count() == 0
+    twice = spark.createDataFrame([(1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    again = topk.sparse_rows(twice)
+    assert [tuple(r) for r in topk.exact_topk(again.filter("vec_id = 1"), again).collect()] == [(1, 1, 2, 2 * 256 * 256)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
 
 
 def test_language(spark, odd, empty):
