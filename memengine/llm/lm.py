@@ -137,9 +137,9 @@ def huffman(counts: np.ndarray) -> tuple[Tree, np.ndarray]:
 @dataclass
 class Network:
     tree: Tree
-    embed: np.ndarray  # (2 * WINDOW, tokens + 1, WIDTH); the last row stands beyond both ends of a document
+    embed: np.ndarray  # (2 * WINDOW, WIDTH, tokens + 1); the last column stands beyond both ends of a document
     hidden: np.ndarray  # (WIDTH,) bias
-    output: np.ndarray  # (nodes, WIDTH + 1); the last column is the bias
+    output: np.ndarray  # (WIDTH + 1, nodes); the last row is the bias
 
     def arrays(self) -> list[np.ndarray]:
         return [self.embed, self.hidden, self.output]
@@ -160,7 +160,7 @@ def start(counts: np.ndarray, seed: int = 0) -> Network:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     tree, odds = huffman(counts)
-    return Network(tree, draw(2 * WINDOW, len(counts) + 1, WIDTH), np.zeros(WIDTH, np.float32), np.concatenate([np.zeros((len(odds), WIDTH), np.float32), odds[:, None]], axis=1))
+    return Network(tree, draw(2 * WINDOW, WIDTH, len(counts) + 1), np.zeros(WIDTH, np.float32), np.concatenate([np.zeros((WIDTH, len(odds)), np.float32), odds[None]]))
 
 
 def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
@@ -174,51 +174,56 @@ def contexts(tokens: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
 
 
 def _read(net: Network, around: np.ndarray) -> np.ndarray:
-    x = net.embed[0][around[:, 0]]
+    """(WIDTH, places): what the network makes of the neighbours of each place."""
+    x = np.take(net.embed[0], around[:, 0], axis=1)
     for k in range(1, 2 * WINDOW):
-        x += net.embed[k][around[:, k]]
-    return np.tanh(x + net.hidden)
+        x += np.take(net.embed[k], around[:, k], axis=1)
+    x += net.hidden[:, None]
+    return np.tanh(x, out=x)
 
 
 def log_probabilities(net: Network, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token given its neighbours."""
     x = _read(net, around)
     place, node, turn, first = net.tree.paths(tokens)
-    out = net.output[node]
-    z = np.einsum("ij,ij->i", x[place], out[:, :WIDTH])
-    z += out[:, WIDTH]
+    out = np.take(net.output, node, axis=1)
+    z = np.einsum("ij,ij->j", np.take(x, place, axis=1), out[:WIDTH])
+    z += out[WIDTH]
     z *= -turn
     return -np.add.reduceat(np.logaddexp(0, z), first) if len(first) else z
 
 
 def _add_at(rows: np.ndarray, seen: np.ndarray, at: np.ndarray, values: np.ndarray, rate: float) -> None:
-    """rows[at] += rate * values, summed where ``at`` repeats, and over the root of the squares that a row has ``seen``."""
-    order = np.argsort(at.astype(np.uint16) if len(rows) <= 1 << 16 else at, kind="stable")
+    """rows[:, at] += rate * values, summed where ``at`` repeats, and over the root of the squares that a column has ``seen``."""
+    order = np.argsort(at.astype(np.uint16) if rows.shape[1] <= 1 << 16 else at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    total, at = np.add.reduceat(values[order], first), at[first]
-    seen[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-    rows[at] += rate * total / np.sqrt(seen[at] + 1e-8)[:, None]
+    total, at = np.add.reduceat(np.take(values, order, axis=1), first, axis=1), at[first]
+    seen[at] += np.einsum("ij,ij->j", total, total) / len(total)
+    total *= rate / np.sqrt(seen[at] + 1e-8)
+    rows[:, at] += total
 
 
 def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float, seen: list[np.ndarray] | None = None) -> None:
-    """One gradient step, in place, on the sum of log probabilities; steps of a row shrink by the root of its squares (AdaGrad).
+    """One gradient step, in place, on the sum of log probabilities; steps of a column shrink by the root of its squares (AdaGrad).
 
     ``seen`` has those sums of squares from step to step; without it, each step stands alone.
     """
     seen = fresh(net) if seen is None else seen
     x = _read(net, around)
     place, node, turn, first = net.tree.paths(tokens)
-    there, out = x[place], net.output[node]
-    z = np.einsum("ij,ij->i", there, out[:, :WIDTH])
-    z += out[:, WIDTH]
-    pull = turn / (1 + np.exp(turn * z))
-    dx = np.add.reduceat(out[:, :WIDTH] * pull[:, None], first) * (1 - x * x)
-    step = np.empty((len(node), WIDTH + 1), np.float32)
-    np.multiply(there, pull[:, None], out=step[:, :WIDTH])
-    step[:, WIDTH] = pull
-    _add_at(net.output, seen[-1], node, step, rate)
-    total = dx.sum(0)
+    there, out = np.take(x, place, axis=1), np.take(net.output, node, axis=1)
+    z = np.einsum("ij,ij->j", there, out[:WIDTH])
+    z += out[WIDTH]
+    z *= turn
+    pull = turn / (1 + np.exp(z, out=z))
+    out[:WIDTH] *= pull
+    dx = np.add.reduceat(out[:WIDTH], first, axis=1)
+    dx *= 1 - x * x
+    np.multiply(there, pull, out=out[:WIDTH])
+    out[WIDTH] = pull
+    _add_at(net.output, seen[-1], node, out, rate)
+    total = dx.sum(1)
     seen[0] += total @ total / WIDTH
     net.hidden += rate * total / np.sqrt(seen[0] + 1e-8)
     for k in range(2 * WINDOW):
@@ -227,7 +232,7 @@ def train_step(net: Network, around: np.ndarray, tokens: np.ndarray, rate: float
 
 def fresh(net: Network) -> list[np.ndarray]:
     """Sums of squares of gradients before the first step: of the hidden bias, each embedding and each node."""
-    return [np.zeros(1, np.float32), *np.zeros(net.embed.shape[:2], np.float32), np.zeros(len(net.output), np.float32)]
+    return [np.zeros(1, np.float32), *np.zeros((2 * WINDOW, net.embed.shape[2]), np.float32), np.zeros(net.output.shape[1], np.float32)]
 
 
 def _train(held, rate: float):

@@ -418,10 +418,10 @@ def test_a_score_is_the_sum_of_a_plain_loop(spark):
         for i, token in enumerate(tokens):
             x = net.hidden.astype(float).copy()
             for k, d in enumerate((-2, -1, 1, 2)):
-                x += net.embed[k][tokens[i + d] if 0 <= i + d < len(tokens) else len(words.counts)]
+                x += net.embed[k][:, tokens[i + d] if 0 <= i + d < len(tokens) else len(words.counts)]
             x = np.tanh(x)
             for step in range(net.tree.first[token], net.tree.first[token + 1]):
-                out = net.output[net.tree.node[step]]
+                out = net.output[:, net.tree.node[step]]
                 total -= np.log1p(np.exp(-net.tree.turn[step] * (x @ out[:-1] + out[-1])))
             if token >= words.first_cell:
                 h = int(lm.word_hashes(np.frombuffer(said[i], np.uint8), np.array([0, len(said[i])]))[0][0])
