@@ -23,8 +23,8 @@ STEP = 1 << 16
 #: Jaccard similarity of word shingles at which documents are near copies, the words of a shingle, and the bits of 120 in which
 #: candidates differ at most: at this similarity one word in forty is another, and 12 bits differ on average.
 SIMILARITY, WORDS, DIFFER = 0.8, 5, 30
-#: Documents of one family that a task compares; a larger family is compared block by block.
-FAMILY = 512
+#: Documents of one family, and words in them, that a task compares; a larger family is compared block by block.
+FAMILY, FAMILY_WORDS = 512, 2_000_000
 _SOLID = lookup(lambda c: c not in b" \t\n\r\x0b\x0c")
 
 
@@ -84,13 +84,13 @@ def _documents(data: np.ndarray, at: np.ndarray) -> Lines | None:
 
 
 def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h1, h2, fp) of each row: two hashes of its words in order and the SimHash of its pairs of words; 0 without words."""
+    """(doc_id, h1, h2, fp, n) of each row: two hashes of its words in order, the SimHash of its pairs of words, and how many; 0 without words."""
     for batch in batches:
         for a, b, data, at in chunks(batch.column("body")):
-            out = np.zeros((3, b - a), np.uint64)
+            out = np.zeros((4, b - a), np.uint64)
             if (x := _documents(data, at)) is not None:
-                out[:, x.of] = x.identity(), span_hash(x.h, x.first, x.last, base=0xC2B2AE3D27D4EB4F), x.fingerprint()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(v.view(np.int64)) for v in out)], names=["doc_id", "h1", "h2", "fp"])
+                out[:, x.of] = x.identity(), span_hash(x.h, x.first, x.last, base=0xC2B2AE3D27D4EB4F), x.fingerprint(), x.size.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(v.view(np.int64)) for v in out)], names=["doc_id", "h1", "h2", "fp", "n"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +171,16 @@ def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float =
     id links too, and has a null component only if every row that it reaches has a null id.
     """
     bodies = as_bytes(docs)
-    prints = cut(bodies.mapInArrow(_identities, "doc_id long, h1 long, h2 long, fp long"))
-    classes = cut(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp")))
+    prints = cut(bodies.mapInArrow(_identities, "doc_id long, h1 long, h2 long, fp long, n long"))
+    classes = cut(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     near = connected_components(bucket_links(bodies.select("body").mapInArrow(_keyed, "key long, fp long, sk long"), differ, bucket).select("src", "dst"))
     shared = classes.filter("h1 <> 0").groupBy("fp").agg(F.count("*").alias("m"))
     families = shared.join(near, shared["fp"] == near["node"], "left").filter("m > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("root"))
-    members = cut(classes.filter("h1 <> 0").join(families, "fp").select("h1", "h2", "root", "least"))
+    members = cut(classes.filter("h1 <> 0").join(families, "fp").select("h1", "h2", "root", "least", "n"))
     # any row of a class has its words: those of the least id, or of none where no row has one
     wanted = members.join(prints.select("doc_id", "h1", "h2"), ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("id"), "h1", "h2", "root").distinct()
     texts = bodies.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).mapInArrow(_of_class, "h1 long, root long, body binary")
-    parts = members.groupBy("root").agg(F.ceil(F.count("*") / family).cast("int").alias("parts"))
+    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / family, F.sum("n") / FAMILY_WORDS)).cast("int").alias("parts"))
     own = F.pmod("h1", F.col("parts")).cast("int")
     dealt = texts.join(parts, "root").withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("root", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "h1", "body").dropDuplicates(["root", "a", "b", "h1"])
