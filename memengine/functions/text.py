@@ -71,28 +71,47 @@ def structured_terms(text: Column, more: tuple[str, ...] = ()) -> Column:
 
 
 def scrub(text: Column, home: str | None = None) -> Column:
-    """Text without private keys, bearer tokens, connection strings and assigned secrets; labels stay."""
+    """Text without private keys, bearer tokens, connection strings and assigned secrets; labels stay.
+
+    White space and ends of words are those of all scripts.
+    """
     out = text
-    for pattern, by in (
-        (r"(?is)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "<redacted>"),
-        (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer <redacted>"),
-        (r"(?i)\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis)://[^\s<>]+", "<redacted>"),
-        (r"(?im)\b((?:[A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIALS?)|(?:AWS|GITHUB|OPENAI|ANTHROPIC)_[A-Z0-9_]+)\s*=)\s*[^\s#;,]+", "$1 <redacted>"),
-        (r"(?i)\b((?:api[_-]?key|access[_-]?token|refresh[_-]?token|secret|password|passwd|token)\s*[:=]\s*)[^\s#;,]+", "$1<redacted>"),
+    for pattern, by in (  # fixed values: what counts as a secret
+        (r"(?isU)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "<redacted>"),
+        (r"(?iU)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer <redacted>"),
+        (r"(?iU)\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis)://[^\s<>]+", "<redacted>"),
+        (r"(?imU)\b((?:[A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIALS?)|(?:AWS|GITHUB|OPENAI|ANTHROPIC)_[A-Z0-9_]+)\s*=)\s*[^\s#;,]+", "$1 <redacted>"),
+        (r"(?iU)\b((?:api[_-]?key|access[_-]?token|refresh[_-]?token|secret|password|passwd|token)\s*[:=]\s*)[^\s#;,]+", "$1<redacted>"),
     ):
         out = F.regexp_replace(out, pattern, by)
     home = (home or "").rstrip("/")
     return F.replace(out, F.lit(home), F.lit("<home>")) if home else out
 
 
+def _micros(stamp: Column) -> Column:
+    """Microseconds since 1970 of an ISO time; UTC where it has no zone, whatever the session's zone is. Null where it is none."""
+    said = F.trim(stamp)
+    zoned = F.when(said.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$") & said.contains(":"), said).when(said.contains(":"), F.concat(said, F.lit("Z"))).otherwise(F.concat(said, F.lit("T00:00:00Z")))
+    return F.unix_micros(F.try_to_timestamp(zoned))
+
+
 def epoch(stamp: Column) -> Column:
     """Seconds since 1970 of an ISO time, UTC where it has no zone; 0 where it is none."""
-    return F.coalesce(F.unix_micros(F.try_to_timestamp(stamp)) / 1e6, F.lit(0.0))
+    return F.coalesce(_micros(stamp) / 1e6, F.lit(0.0))
+
+
+def iso_utc(micros: Column) -> Column:
+    """ISO time with a Z of microseconds since 1970, with six digits of a second where it is no whole one."""
+    day, rest = F.floor(micros / F.lit(86_400_000_000)), F.pmod(micros, F.lit(86_400_000_000))
+    second = F.floor(rest / 1_000_000)
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    part = rest % 1_000_000
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), clock, F.when(part > 0, F.format_string(".%06d", part)).otherwise(F.lit("")), F.lit("Z"))
 
 
 def utc_stamp(stamp: Column) -> Column:
-    """ISO time with a Z; null where it is none."""
-    return F.date_format(F.try_to_timestamp(stamp), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO time in UTC with a Z, fractions of seconds kept; null where it is none."""
+    return iso_utc(_micros(stamp))
 
 
 def project_slug(cwd: Column, fallback: Column) -> Column:

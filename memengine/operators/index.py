@@ -129,12 +129,24 @@ def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def snippet(text: Column, terms: Column, width: int = 16) -> Column:
     """The window of ``width`` words with most query words, the first of the best; hits in «», cut ends as …."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hit = F.transform(words, lambda w: F.exists(tokens(w), lambda t: F.array_contains(terms, t)).cast("int"))
-    span = F.greatest(F.size(words) - width, F.lit(0))
-    counts = F.transform(F.sequence(F.lit(0), span), lambda i: F.aggregate(F.slice(hit, i + 1, width), F.lit(0), lambda a, x: a + x))
-    start = F.array_position(counts, F.array_max(counts)).cast("int")
-    shown = F.array_join(F.slice(F.zip_with(words, hit, lambda w, h: F.when(h == 1, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w)), start, width), " ")
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), shown, F.when(start <= span, F.lit("…")).otherwise(F.lit(""))))
+
+    def shown(words: Column, hit: Column, start: Column) -> Column:
+        marked = F.zip_with(F.slice(words, start, width), F.slice(hit, start, width), lambda w, h: F.when(h == 1, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+        ends = F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.when(start <= F.size(words) - width, F.lit("…")).otherwise(F.lit(""))
+        return F.concat(ends[0], F.array_join(marked, " "), ends[1])
+
+    def best(words: Column, hit: Column) -> Column:
+        last = F.greatest(F.size(words) - width, F.lit(0))
+        counts = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(hit, i + 1, width), F.lit(0), lambda a, x: a + x))
+        return bound(bound(counts, lambda c: F.array_position(c, F.array_max(c)).cast("int")), lambda start: shown(words, hit, start))
+
+    hits = lambda words: F.transform(words, lambda w: F.arrays_overlap(tokens(w), terms).cast("int"))
+    found = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return bound(found, lambda words: F.when(F.size(words) == 0, F.lit("")).otherwise(bound(hits(words), lambda hit: best(words, hit))))

@@ -369,7 +369,7 @@ ORACLE = {
     "doc_sync_report": _PLAN + " SELECT count(*) FILTER (action NOT IN ('delete', 'keep')) AS scanned, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action NOT IN ('delete', 'keep') AND source_kind = 'raw_transcript') AS raw FROM plan",
     "doc_sync_applied": _PLAN + " SELECT doc_id, content_sha256 FROM docs UNION ALL SELECT 'x' || doc_id, content_sha256 FROM docs WHERE CAST(doc_id[2:] AS BIGINT) % 10 = 3 AND source_kind = 'raw_transcript'",
     "distilled_documents": _D + """, t AS (SELECT d.*, s.project_slug, coalesce(distillation_key, 'legacy:' || CAST(d.session_id AS VARCHAR)) AS k, '{"project":"' || s.project_slug || '","summary":"' || summary || '"}' AS text FROM distilled d JOIN sessions s ON d.session_id = s.session_id)
-      SELECT sha256(text) AS content_sha256, 'distilled:' || k AS source_path, project_slug, distilled_at AS updated_at, k AS source_version FROM t""",
+      SELECT sha256(text) AS content_sha256, 'distilled:' || k AS source_path, project_slug, strftime(TIMESTAMP '2024-01-01' + to_minutes(session_id * 60 + 5000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN session_id % 3 = 0 THEN '.125000Z' ELSE 'Z' END AS updated_at, k AS source_version FROM t""",
     "transcript_documents": _S + _RENDERED + " SELECT 'transcript:chat:' || CAST(s.session_id AS VARCHAR) AS source_path, project_slug, ended_at AS updated_at, CAST(length(rtrim(t, chr(10))) AS INTEGER) AS n_chars FROM rendered r JOIN sessions s ON r.session_id = s.session_id",
     "status_counters": "WITH " + v.DISTILLED[1:] + "," + v.SUGGESTIONS + """ SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(DISTINCT project_slug) FROM sessions) AS projects, (SELECT count(*) FROM messages) AS messages, (SELECT count(*) FROM distilled) AS distilled, (SELECT max(distilled_at) FROM distilled) AS last_distilled,
       count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected FROM sugg""",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.functions.text import scrub, tokens
+from memengine.functions.text import iso_utc, scrub, tokens
 from memengine.operators.index import build_index, match_all, query_units
 
 
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stamp(minutes: Column) -> Column:
     """ISO time so many minutes after the start of 2024."""
-    return F.date_format(F.timestamp_seconds(F.lit(1704067200) + minutes * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return iso_utc((F.lit(1704067200) + minutes * 60) * 1_000_000)
 
 
 def messages(spark, sf_dir: str) -> DataFrame:
@@ -58,9 +58,12 @@ SESSIONS = MESSAGES + """, sessions AS (
 def distilled(spark, sf_dir: str) -> DataFrame:
     """Distillations of four in five sessions; every seventh of an older revision, every ninth without a key."""
     s = sessions(spark, sf_dir).filter("session_id % 5 <> 0")
+    # a third of the times have a fraction, a third of them no zone
+    whole = F.regexp_replace(stamp(F.col("session_id") * 60 + 5000), "Z$", "")
+    distilled_at = F.concat(whole, F.element_at(F.array(F.lit(".125Z"), F.lit(""), F.lit("Z")), (F.col("session_id") % 3 + 1).cast("int")))
     notes = F.to_json(F.struct(F.concat(F.lit("summary of "), F.col("session_id")).alias("summary"), F.col("project_slug").alias("project")))
     return s.select(
-        "session_id", F.when(F.col("session_id") % 9 != 0, F.sha2(F.concat_ws(":", F.lit("k"), "session_id"), 256)).alias("distillation_key"), stamp(F.col("session_id") * 60 + 5000).alias("distilled_at"),
+        "session_id", F.when(F.col("session_id") % 9 != 0, F.sha2(F.concat_ws(":", F.lit("k"), "session_id"), 256)).alias("distillation_key"), distilled_at.alias("distilled_at"),
         F.when(F.col("session_id") % 7 == 0, F.lit("old")).otherwise(F.col("source_revision")).alias("source_revision"), "parser_version",
         F.lit("v1").alias("prompt_version"), F.lit("local").alias("provider"), F.lit("m").alias("model"), notes.alias("notes_json"), F.concat(F.lit("summary of "), F.col("session_id")).alias("summary"),
     )
@@ -68,7 +71,7 @@ def distilled(spark, sf_dir: str) -> DataFrame:
 
 DISTILLED = SESSIONS + """, distilled AS (
   SELECT session_id, CASE WHEN session_id % 9 <> 0 THEN sha256('k:' || CAST(session_id AS VARCHAR)) END AS distillation_key,
-         strftime(TIMESTAMP '2024-01-01' + to_minutes(session_id * 60 + 5000), '%Y-%m-%dT%H:%M:%SZ') AS distilled_at,
+         strftime(TIMESTAMP '2024-01-01' + to_minutes(session_id * 60 + 5000), '%Y-%m-%dT%H:%M:%S') || (['.125Z', '', 'Z'])[session_id % 3 + 1] AS distilled_at,
          CASE WHEN session_id % 7 = 0 THEN 'old' ELSE source_revision END AS source_revision, parser_version, 'v1' AS prompt_version, 'local' AS provider, 'm' AS model,
          '{"summary":"summary of ' || CAST(session_id AS VARCHAR) || '","project":"' || project_slug || '"}' AS notes_json, 'summary of ' || CAST(session_id AS VARCHAR) AS summary
   FROM sessions WHERE session_id % 5 <> 0
