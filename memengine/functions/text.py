@@ -92,7 +92,7 @@ def _micros(stamp: Column) -> Column:
     """Microseconds since 1970 of an ISO time; UTC where it has no zone, whatever the session's zone is. Null where it is none."""
     said = F.trim(stamp)
     zoned = F.when(said.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$") & said.contains(":"), said).when(said.contains(":"), F.concat(said, F.lit("Z"))).otherwise(F.concat(said, F.lit("T00:00:00Z")))
-    return F.unix_micros(F.try_to_timestamp(zoned))
+    return F.unix_micros(F.try_to_timestamp(F.when(said.rlike(r"^\d{4}-\d{2}-\d{2}"), zoned)))
 
 
 def epoch(stamp: Column) -> Column:

@@ -44,8 +44,15 @@ def is_idle(batch: DataFrame, memory: DataFrame) -> bool:
 
 
 def memory_blob(memory: DataFrame, *group: str) -> DataFrame:
-    """One text a group (or one in all) of memory files by name, cut at the limit with a note."""
-    rows = memory.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("path", "body"))).alias("f"))
+    """One text a group (or one in all) of memory files by name, cut at the limit with a note.
+
+    Lengths alone tell which files begin before the limit; only their bodies are gathered.
+    """
+    gap = 7  # characters between two files
+    sized = memory.select(*group, "path", (F.length("path") + F.length("body") + 12 + gap).alias("_size"))
+    begins = F.coalesce(F.sum("_size").over(W.partitionBy(*group).orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shown = sized.withColumn("_begins", begins).filter(F.col("_begins") <= MAX_MEMORY + gap).select(*group, "path")
+    rows = memory.join(shown, [*group, "path"], "left_semi").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("path", "body"))).alias("f"))
     blob = F.array_join(F.transform("f", lambda f: F.concat(F.lit("### FILE: "), f["path"], F.lit("\n\n"), f["body"])), "\n\n---\n\n")
     cut = F.when(F.length(blob) > MAX_MEMORY, F.concat(F.substring(blob, 1, MAX_MEMORY), F.lit("\n\n... [TRUNCATED]"))).otherwise(blob)
     return rows.select(*group, cut.alias("memory"))

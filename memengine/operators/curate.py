@@ -48,9 +48,18 @@ def review_prompts(snapshots: DataFrame, template: str, *group: str) -> DataFram
     """(group, prompt, fault): the suggestions of a group as one prompt; a field or prompt that is too long is a fault, never cut."""
     fields = ["id", "kind", "target_path", "body", "rationale", "source_sessions", "current_body", "current_sha256", "base_sha256"]
     long = F.greatest(*(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in fields))
-    rows = snapshots.groupBy(*group).agg(F.max(long).alias("_longest"), F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("_rows"))
+    total = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in fields), F.lit(0))
+    # a prompt is longer than its fields: groups that are too long by those are never gathered
+    sizes = snapshots.groupBy(*group).agg(F.max(long).alias("_longest"), F.sum(total).alias("_total"))
+    fits = sizes.filter((F.col("_longest") <= MOST_FIELD) & (F.col("_total") <= MOST_PROMPT)).select(*(F.col(g).alias(f"_of_{g}") for g in group))
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    gathered = snapshots.join(fits, same, "left_semi").groupBy(*group).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("_rows"))
+    gathered = gathered.select(*(F.col(g).alias(f"_of_{g}") for g in group), "_rows")
+    rows = sizes.join(gathered, same, "left")
     prompt = F.replace(F.lit(template), F.lit("{{suggestions}}"), F.col("_rows"))
-    fault = F.when(F.col("_longest") > MOST_FIELD, F.lit("a field is too long")).when(F.length(prompt) > MOST_PROMPT, F.lit("the prompt is too long"))
+    fault = F.when(F.col("_longest") > MOST_FIELD, F.lit("a field is too long")).when((F.col("_total") > MOST_PROMPT) | (F.length(prompt) > MOST_PROMPT), F.lit("the prompt is too long"))
     return rows.select(*group, F.when(fault.isNull(), prompt).alias("prompt"), fault.alias("fault"))
 
 

@@ -135,7 +135,7 @@ def distill_prompts(spark, d) -> DataFrame:
 
 def _completions(spark, d):
     """Notes of every document; four in five of them broken in one way."""
-    docs = v.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
+    docs = v.table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     i = F.col("doc_id")
     lists = {n: F.array("t") for n in distill.NOTE_LISTS}
     whole = lambda **more: F.to_json(F.struct(F.concat(F.lit("about "), "t").alias("summary"), *(x.alias(n) for n, x in (lists | more).items())))
@@ -187,7 +187,7 @@ def ledger_seed(spark, d) -> DataFrame:
 
 
 def memory_blob(spark, d) -> DataFrame:
-    m = v.memory(spark, d).withColumn("root", F.substring("path", 2, 1))
+    m = v.memory(spark, d).withColumn("root", F.floor(F.regexp_extract("path", "[0-9]+", 0).cast("long") / 500))
     return consolidate.memory_blob(m, "root").select("root", F.sha2("memory", 256).alias("sha256"))
 
 
@@ -211,7 +211,7 @@ def suggestion_conflicts(spark, d) -> DataFrame:
 def _decisions(spark, d):
     """Four in five suggestions get decisions of all kinds; some come twice, some are unknown, blank or have bodies."""
     i = F.col("doc_id")
-    docs = v.table(spark, d, "documents").filter("doc_id % 2 = 0 and doc_id % 10 <> 8 or doc_id % 101 = 1")
+    docs = v.table(spark, d, "documents").filter("doc_id % 10 <> 8 or doc_id % 101 = 1")
     made = docs.select(i.alias("suggestion_id"), F.element_at(F.array(*map(F.lit, ("accept", "merge", "reject", "defer", "accept"))), (i % 5 + 1).cast("int")).alias("decision"), F.when(i % 33 == 0, F.lit(" ")).otherwise(F.lit("fine")).alias("reason"), F.when((i % 5 == 1) | (i % 44 == 0), F.lit("merged body")).otherwise(F.lit("")).alias("body"))
     return made.filter("suggestion_id % 14 <> 0"), made.filter("suggestion_id % 70 = 6")
 
@@ -234,22 +234,21 @@ def curate_next_memory(spark, d) -> DataFrame:
 
 
 def review_prompts(spark, d) -> DataFrame:
-    snaps = curate.snapshots(v.suggestions(spark, d), v.memory(spark, d)).withColumn("batch", F.col("id") % 20)
+    snaps = curate.snapshots(v.suggestions(spark, d), v.memory(spark, d)).withColumn("batch", F.floor(F.col("id") / 20))
     return curate.review_prompts(snaps, "Review:\n{{suggestions}}", "batch").select("batch", F.length("prompt").alias("prompt_chars"), "fault")
 
 
 def _indexes(spark, d):
-    """An index for each source: a line for every document, and what later documents propose."""
-    docs = v.table(spark, d, "documents")
-    line = lambda: F.concat(F.lit("- [t](m"), (F.col("doc_id") % 300).cast("string"), F.lit(".md) hook"))
+    """An index for a thousand ids of a source: lines of three in five documents, and what the others propose."""
+    docs = v.table(spark, d, "documents").withColumn("source", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")))
+    line = lambda: F.concat(F.lit("- [t](m"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".md) hook"))
     text = lambda rows, name: rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line().alias("l")))), lambda x: x["l"]), "\n").alias(name))
-    return text(docs.filter("doc_id < 500"), "existing").join(text(docs.filter("doc_id >= 500"), "proposed"), "source", "left")
+    return text(docs.filter("doc_id % 5 < 3"), "existing").join(text(docs.filter("doc_id % 5 >= 3"), "proposed"), "source", "left")
 
 
 _INDEXES = """
-idx AS (
-  SELECT source, string_agg('- [t](m' || CAST(doc_id % 300 AS VARCHAR) || '.md) hook', chr(10) ORDER BY doc_id) AS existing FROM documents WHERE doc_id < 500 GROUP BY 1
-), lines AS (SELECT source, doc_id, 'm' || CAST(doc_id % 300 AS VARCHAR) || '.md' AS file, doc_id < 500 AS old FROM documents),
+lines AS (SELECT source || '/' || CAST(doc_id // 1000 AS VARCHAR) AS source, doc_id, 'm' || CAST(doc_id // 50 AS VARCHAR) || '.md' AS file, doc_id % 5 < 3 AS old FROM documents),
+idx AS (SELECT source, string_agg('- [t](' || file || ') hook', chr(10) ORDER BY doc_id) AS existing FROM lines WHERE old GROUP BY 1),
 added AS (SELECT source, string_agg('- [t](' || file || ') hook', chr(10) ORDER BY doc_id) AS l FROM lines n WHERE NOT old AND NOT EXISTS (FROM lines o WHERE o.old AND o.source = n.source AND o.file = n.file) GROUP BY 1)"""
 
 
@@ -259,7 +258,8 @@ def index_merge(spark, d) -> DataFrame:
 
 def index_prune(spark, d) -> DataFrame:
     index = _indexes(spark, d).select(F.col("source").alias("root"), F.concat(F.lit("# Index\n"), "existing").alias("body"))
-    files = v.table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("root"), F.concat(F.lit("m"), (F.col("doc_id") % 300).cast("string"), F.lit(".md")).alias("path")).distinct()
+    docs = v.table(spark, d, "documents").filter("doc_id % 3 = 0")  # the files that are there
+    files = docs.select(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("root"), F.concat(F.lit("m"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".md")).alias("path")).distinct()
     return curate.pruned_index(index, files).select("root", F.sha2("body", 256).alias("sha256"))
 
 
@@ -302,7 +302,7 @@ def session_summaries(spark, d) -> DataFrame:
 
 def chat_bundles(spark, d) -> DataFrame:
     c = v.table(spark, d, "conversations")
-    rows = c.select((F.col("conv_id") % 10).cast("string").alias("chat"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text", v.stamp(F.col("conv_id") * 60 + F.col("turn")).alias("ts"))
+    rows = c.select(F.floor(F.col("conv_id") / 4).cast("string").alias("chat"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text", v.stamp(F.col("conv_id") * 60 + F.col("turn")).alias("ts"))
     return chat.bundle_chats(rows)
 
 
@@ -341,7 +341,7 @@ _SNAP = _G + """, snap AS (SELECT s.*, m.body AS cur, m.sha256 AS cur_sha, m.pat
   CASE WHEN s.target IS NULL THEN true ELSE (s.base_sha256 IS NOT NULL AND s.base_sha256 IS DISTINCT FROM m.sha256) OR (s.base_sha256 IS NULL AND s.target_existed = 0 AND m.path IS NOT NULL) END AS conflict
   FROM sugg s LEFT JOIN memory m ON m.path = s.target WHERE status = 'pending')"""
 _DECIDED = """, dec0 AS (SELECT doc_id AS sid, (['accept', 'merge', 'reject', 'defer', 'accept'])[doc_id % 5 + 1] AS decision, CASE WHEN doc_id % 33 = 0 THEN ' ' ELSE 'fine' END AS reason, CASE WHEN doc_id % 5 = 1 OR doc_id % 44 = 0 THEN 'merged body' ELSE '' END AS body
-  FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 8 OR doc_id % 101 = 1), made AS (SELECT * FROM dec0 WHERE sid % 14 <> 0)"""
+  FROM documents WHERE doc_id % 10 <> 8 OR doc_id % 101 = 1), made AS (SELECT * FROM dec0 WHERE sid % 14 <> 0)"""
 _JUDGED = rq._JUDGED
 _EVAL = rq._ALL + _JUDGED + """, rel AS (SELECT DISTINCT query_id FROM judged), best AS (SELECT r.query_id, min(slot) AS best FROM rel r LEFT JOIN (SELECT query_id, slot FROM chosen JOIN judged USING (query_id, doc_id)) c ON r.query_id = c.query_id GROUP BY 1)"""
 _SWEEP = rq._ALL + _JUDGED + """, marks AS (SELECT t.*, j.doc_id IS NOT NULL AS good FROM turns t LEFT JOIN judged j ON t.query_id = j.query_id AND t.doc_id = j.doc_id),
@@ -377,14 +377,15 @@ ORACLE = {
     "distill_estimate": _D + _PENDING + " SELECT count(*) AS sessions, CAST(sum(total_chars) AS BIGINT) AS total_chars, CAST(floor(sum(total_chars) / 4) AS BIGINT) AS input_tokens, count(*) * 500 AS output_tokens FROM pending",
     "distill_prompts": _D + _PENDING + _RENDERED + f", p AS (SELECT r.session_id, 'Session of ' || started_at || ' in ' || cwd || ' (' || project_slug || '):' || chr(10) || {_CUT.format(150000, 90000, 60000)} AS prompt FROM rendered r JOIN pending USING (session_id)) SELECT session_id, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_sha256 FROM p",
     "completion_validate": f"SELECT doc_id AS session_id, {_FAULT} AS fault FROM documents",
-    "completion_load": "SELECT doc_id AS session_id, sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), 'r' || CAST(n_chars AS VARCHAR), 'p1', 'v1', 'local', '', '{}')) AS distillation_key, 'about ' || left(text, 40) AS summary FROM documents WHERE doc_id % 5 = 0",
-    "findings": "SELECT doc_id AS session_id, unnest(['user_facts', 'preferences', 'projects', 'references', 'decisions', 'open_threads']) AS bucket, CAST(0 AS INTEGER) AS n, left(text, 40) AS text FROM documents WHERE doc_id % 5 = 0",
+    "completion_load": "SELECT doc_id AS session_id, sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), 'r' || CAST(n_chars AS VARCHAR), 'p1', 'v1', 'local', '', '{}')) AS distillation_key, left('about ' || text, 500) AS summary FROM documents WHERE doc_id % 5 = 0",
+    "findings": "SELECT doc_id AS session_id, unnest(['user_facts', 'preferences', 'projects', 'references', 'decisions', 'open_threads']) AS bucket, CAST(0 AS INTEGER) AS n, text FROM documents WHERE doc_id % 5 = 0",
     "findings_usage": "SELECT count(*) AS distilled, count(*) * 6 AS findings FROM documents WHERE doc_id % 5 = 0",
     "consolidate_batch": _BATCH + " SELECT * FROM batch WHERE ts > '2024-01-01T06:00:00Z' ORDER BY ts, session_id LIMIT 60",
     "batch_fit": _BATCH + """, b AS (SELECT * FROM batch ORDER BY ts, session_id LIMIT 200), s AS (SELECT session_id, ts, CAST(length('### session ' || CAST(session_id AS VARCHAR) || ' @ ' || ts || chr(10) || '```json' || chr(10) || notes_json || chr(10) || '```' || chr(10)) AS INTEGER) AS block_chars FROM b),
       r AS (SELECT *, CAST(sum(block_chars) OVER (ORDER BY ts, session_id) AS BIGINT) AS total_chars, row_number() OVER (ORDER BY ts, session_id) AS n FROM s) SELECT session_id, block_chars, total_chars FROM r WHERE total_chars <= 3000 OR n = 1""",
     "ledger_seed": _D + _LEDGER + " SELECT * FROM ledger UNION ALL SELECT distillation_key, d.session_id, 'legacy-watermark' FROM distilled d JOIN sessions s ON d.session_id = s.session_id WHERE distillation_key IS NOT NULL AND coalesce(s.ended_at, s.started_at) <= '2024-01-02T12:00:00Z' AND distillation_key NOT IN (SELECT distillation_key FROM ledger)",
-    "memory_blob": "WITH " + v.MEMORY + " SELECT path[2] AS root, sha256(string_agg('### FILE: ' || path || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY path)) AS sha256 FROM memory GROUP BY 1",
+    "memory_blob": "WITH " + v.MEMORY + """, blob AS (SELECT CAST(regexp_extract(path, '[0-9]+') AS BIGINT) // 500 AS root, string_agg('### FILE: ' || path || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY path) AS b FROM memory GROUP BY 1)
+      SELECT root, sha256(CASE WHEN length(b) > 800000 THEN left(b, 800000) || chr(10) || chr(10) || '... [TRUNCATED]' ELSE b END) AS sha256 FROM blob""",
     "removal_gate": _G + " SELECT id, kind, target_path FROM sugg LEFT JOIN memory ON path = target_path WHERE NOT (kind = 'remove' AND path IS NOT NULL AND floor((1706745600 - modified) / 86400) < 21)",
     "suggestion_binding": _G + " SELECT id, sha256 AS base_sha256, CAST(path IS NOT NULL AS INTEGER) AS target_existed FROM sugg LEFT JOIN memory ON path = target_path",
     "suggestion_previews": "WITH " + v.SUGGESTIONS + " SELECT id, '2024-02-01-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || '-' || kind || '-' || trim(regexp_replace(replace(target_path, '.md', ''), '[^a-z0-9-]+', '-', 'g'), '-') || '.md' AS sug_file FROM (SELECT *, row_number() OVER (ORDER BY id) + 3 AS n FROM sugg)",
@@ -405,14 +406,14 @@ ORACLE = {
             WHEN NOT f.applied AND conflict AND decision = 'accept' THEN {'outcome': 'deferred', 'reason': 'initial conflict', 'applied': false} ELSE {'outcome': 'accepted', 'reason': NULL, 'applied': true} END AS o FROM rows r JOIN fold f ON r.g = f.g AND r.n = f.n + 1)
       ) SELECT id, target, outcome, reason, exists_after FROM fold""",
     "index_merge": "WITH " + _INDEXES + " SELECT idx.source, sha256(CASE WHEN l IS NULL THEN existing ELSE existing || chr(10) || l || chr(10) END) AS sha256 FROM idx LEFT JOIN added ON idx.source = added.source",
-    "index_prune": "WITH " + _INDEXES + ", files AS (SELECT DISTINCT source, 'm' || CAST(doc_id % 300 AS VARCHAR) || '.md' AS file FROM documents WHERE doc_id % 3 = 0), k AS (SELECT l.source, string_agg('- [t](' || l.file || ') hook', chr(10) ORDER BY doc_id) AS body FROM lines l JOIN files f ON l.source = f.source AND l.file = f.file WHERE old GROUP BY 1) SELECT idx.source AS root, sha256('# Index' || coalesce(chr(10) || k.body, '')) AS sha256 FROM idx LEFT JOIN k ON idx.source = k.source",
+    "index_prune": "WITH " + _INDEXES + ", files AS (SELECT DISTINCT source, file FROM lines WHERE doc_id % 3 = 0), k AS (SELECT l.source, string_agg('- [t](' || l.file || ') hook', chr(10) ORDER BY doc_id) AS body FROM lines l JOIN files f ON l.source = f.source AND l.file = f.file WHERE old GROUP BY 1) SELECT idx.source AS root, sha256('# Index' || coalesce(chr(10) || k.body, '')) AS sha256 FROM idx LEFT JOIN k ON idx.source = k.source",
     "eval_metrics": _EVAL + """ SELECT (SELECT avg(CASE WHEN best <= 1 THEN 1 ELSE 0 END) FROM best) AS hit_1, (SELECT avg(CASE WHEN best <= 3 THEN 1 ELSE 0 END) FROM best) AS hit_3, (SELECT avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END) FROM best) AS hit_5, (SELECT avg(coalesce(1 / best, 0)) FROM best) AS mrr,
       (SELECT avg(CASE WHEN query_id IN (SELECT query_id FROM chosen) THEN 0 ELSE 1 END) FROM q WHERE query_id NOT IN (SELECT query_id FROM rel)) AS empty_correct, CAST(0 AS BIGINT) AS duplicates, (SELECT count(*) FROM q) AS n_queries,
       (SELECT count(*) FROM chosen WHERE doc_id = 'd' || lpad(CAST(query_id * 20 AS VARCHAR), 9, '0')) AS forbidden_count, CAST(1 AS DOUBLE) AS injected_precision, CAST(0 AS INTEGER) AS codepoints""",
     "threshold_sweep": _SWEEP + " SELECT * FROM sweep",
     "calibrate": _SWEEP + f" SELECT 'lexical' AS mode, sha256('{'f' * 64}:lexical:calibration-v1') AS calibration_version, threshold FROM sweep ORDER BY mrr DESC, hit_3 DESC, threshold LIMIT 1",
     "chat_bundles": """WITH RECURSIVE r AS (
-        SELECT CAST(conv_id % 10 AS VARCHAR) AS chat, conv_id * 1000 + turn AS id, role, length(text) AS chars, strftime(TIMESTAMP '2024-01-01' + to_minutes(conv_id * 60 + turn), '%Y-%m-%dT%H:%M:%SZ') AS ts, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS n FROM conversations),
+        SELECT CAST(conv_id // 4 AS VARCHAR) AS chat, conv_id * 1000 + turn AS id, role, length(text) AS chars, strftime(TIMESTAMP '2024-01-01' + to_minutes(conv_id * 60 + turn), '%Y-%m-%dT%H:%M:%SZ') AS ts, row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id, turn) AS n FROM conversations),
       f AS (SELECT chat, n, n AS first_n, chars AS total FROM r WHERE n = 1 UNION ALL SELECT r.chat, r.n, CASE WHEN total >= 500 THEN r.n ELSE first_n END, CASE WHEN total >= 500 THEN chars ELSE total + chars END FROM f JOIN r ON r.chat = f.chat AND r.n = f.n + 1)
       SELECT f.chat, 'chat-' || CAST(min(id) AS VARCHAR) || '-' || CAST(max(id) AS VARCHAR) AS session_id, min(id) AS first_id, max(id) AS last_id, count(*) AS n_rows, count(*) FILTER (role = 'user') AS user_msg_count, count(*) FILTER (role <> 'user') AS asst_msg_count, CAST(any_value(total) AS BIGINT) AS total_chars, max(ts) AS started_at, max(ts) AS ended_at
       FROM f JOIN r ON r.chat = f.chat AND r.n BETWEEN first_n AND f.n WHERE total >= 500 GROUP BY f.chat, f.n""",

@@ -140,37 +140,36 @@ def judgements(spark, sf_dir: str, index=None) -> DataFrame:
 
 
 def memory(spark, sf_dir: str) -> DataFrame:
-    """Every third document as a memory file, touched up to 40 days before February 2024."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
-    body = F.substring("text", 1, 300)
+    """Every document as a memory file, touched up to 40 days before February 2024."""
+    d = table(spark, sf_dir, "documents")
+    body = F.col("text")
     return d.select(F.concat(F.lit("m"), "doc_id", F.lit(".md")).alias("path"), body.alias("body"), F.sha2(body, 256).alias("sha256"), F.timestamp_seconds(F.lit(1706745600) - (F.col("doc_id") % 40) * 86400 + 60).alias("modified"))
 
 
 MEMORY = """
-memory AS (SELECT 'm' || CAST(doc_id AS VARCHAR) || '.md' AS path, left(text, 300) AS body, sha256(left(text, 300)) AS sha256, (1706745600 - (doc_id % 40) * 86400 + 60) AS modified FROM documents WHERE doc_id % 3 = 0)"""
+memory AS (SELECT 'm' || CAST(doc_id AS VARCHAR) || '.md' AS path, text AS body, sha256(text) AS sha256, (1706745600 - (doc_id % 40) * 86400 + 60) AS modified FROM documents)"""
 
 
 def suggestions(spark, sf_dir: str) -> DataFrame:
-    """Every second document as a suggestion: four kinds, targets that share files, some of them unsafe, old and new bases."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    """Every document as a suggestion: four kinds, up to four with one target, some targets unsafe or not there, old and new bases."""
+    d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    kind = F.element_at(F.array(*map(F.lit, ("new", "update", "remove", "index"))), ((i / 2).cast("long") % 4 + 1).cast("int"))
-    name = F.concat(F.lit("m"), (i % 96).cast("string"), F.lit(".md"))
+    kind = F.element_at(F.array(*map(F.lit, ("new", "update", "remove", "index"))), (F.floor(i / 3) % 4 + 1).cast("int"))
+    name = F.concat(F.when(F.floor(i / 4) % 7 == 0, F.lit("n")).otherwise(F.lit("m")), (i - i % 4).cast("string"), F.lit(".md"))
     target = F.when(i % 50 == 0, F.concat(F.lit("../"), name)).when(i % 26 == 0, F.concat(F.lit("./a/../"), name)).otherwise(name)
     base = F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 5 == 0, F.lit("stale")).otherwise(F.sha2(F.concat(F.lit("x"), i), 256))
     return d.select(
-        i.alias("id"), kind.alias("kind"), target.alias("target_path"), F.concat(F.lit("- [t]("), name, F.lit(") hook\n"), F.substring("text", 1, 60)).alias("body"), F.lit("because").alias("rationale"), F.concat_ws(",", F.lit("s1"), F.lit("s2")).alias("source_sessions"),
+        i.alias("id"), kind.alias("kind"), target.alias("target_path"), F.concat(F.lit("- [t]("), name, F.lit(") hook\n"), "text").alias("body"), F.lit("because").alias("rationale"), F.concat_ws(",", F.lit("s1"), F.lit("s2")).alias("source_sessions"),
         base.alias("base_sha256"), (i % 4 == 0).cast("int").alias("target_existed"), F.when(i % 10 == 8, F.lit("accepted")).otherwise(F.lit("pending")).alias("status"),
     )
 
 
 SUGGESTIONS = """
 sugg AS (
-  SELECT doc_id AS id, (['new', 'update', 'remove', 'index'])[(doc_id // 2) % 4 + 1] AS kind,
-         CASE WHEN doc_id % 50 = 0 THEN '../' WHEN doc_id % 26 = 0 THEN './a/../' ELSE '' END || 'm' || CAST(doc_id % 96 AS VARCHAR) || '.md' AS target_path,
-         CASE WHEN doc_id % 50 = 0 THEN NULL ELSE 'm' || CAST(doc_id % 96 AS VARCHAR) || '.md' END AS target,
-         '- [t](m' || CAST(doc_id % 96 AS VARCHAR) || '.md) hook' || chr(10) || left(text, 60) AS body,
+  SELECT doc_id AS id, (['new', 'update', 'remove', 'index'])[(doc_id // 3) % 4 + 1] AS kind,
+         CASE WHEN doc_id % 50 = 0 THEN '../' WHEN doc_id % 26 = 0 THEN './a/../' ELSE '' END || name AS target_path,
+         CASE WHEN doc_id % 50 = 0 THEN NULL ELSE name END AS target, '- [t](' || name || ') hook' || chr(10) || text AS body,
          CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'stale' ELSE sha256('x' || CAST(doc_id AS VARCHAR)) END AS base_sha256, CAST(doc_id % 4 = 0 AS INTEGER) AS target_existed,
          CASE WHEN doc_id % 10 = 8 THEN 'accepted' ELSE 'pending' END AS status
-  FROM documents WHERE doc_id % 2 = 0
+  FROM (SELECT *, CASE WHEN doc_id // 4 % 7 = 0 THEN 'n' ELSE 'm' END || CAST(doc_id - doc_id % 4 AS VARCHAR) || '.md' AS name FROM documents)
 )"""
