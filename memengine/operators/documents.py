@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memengine.functions.text import MAX_DOCUMENT, stable_id, transcript, utc_stamp
+from memengine.operators.index import Index, repaired, update_index
 
 #: Fields that make a stored document stale; times do not.
 COMPARED = ["content_sha256", "source_kind", "trust_level", "project_slug", "source_path", "source_version"]
@@ -65,3 +68,18 @@ def sync_report(plan: DataFrame) -> DataFrame:
     """One row of counts."""
     count = lambda a: F.count_if(F.col("action") == a)
     return plan.agg(F.count_if(F.col("action") != "delete").alias("scanned"), count("insert").alias("inserted"), count("update").alias("updated"), count("delete").alias("deleted"), count("skip").alias("skipped"), F.count_if((F.col("action") != "delete") & (F.col("source_kind") == "raw_transcript")).alias("raw"))
+
+
+def collect_and_sync(stored: DataFrame, collections: dict[str, DataFrame], index: Index | None = None) -> tuple[DataFrame, DataFrame, Index | None]:
+    """(next store, report, index): all collections at once, each under its source kind, against what is stored.
+
+    A kind that is not collected keeps its documents. The index, if one is given, is put right first where it is not
+    sound, and then follows the plan: new and rewritten documents are indexed, deleted ones go, the rest stays.
+    """
+    collected = reduce(DataFrame.unionByName, collections.values())
+    plan = sync_plan(stored, collected, list(collections))
+    after = apply_sync(stored, collected, plan)
+    if index is not None:
+        written = collected.join(plan.filter("action IN ('insert', 'update')"), "doc_id", "left_semi")
+        index = update_index(repaired(stored, index), written, plan.filter("action = 'delete'"))
+    return after, sync_report(plan), index

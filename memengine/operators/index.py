@@ -70,6 +70,11 @@ def index_health(docs: DataFrame, index: Index) -> DataFrame:
     return counted.withColumn("sound", (F.col("missing") == 0) & (F.col("stale") == 0))
 
 
+def repaired(docs: DataFrame, index: Index, **how) -> Index:
+    """The index as it is where it is sound, else one built anew from the documents."""
+    return index if index_health(docs, index).first()["sound"] else build_index(docs, **how)
+
+
 def query_units(queries: DataFrame, words: Column, stemmed: bool = False) -> DataFrame:
     """(query_id, unit, terms): the units of each query, all of which a document must have.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,9 @@ def changed_sessions(parsed: DataFrame, known: DataFrame, force: bool = False) -
     return parsed.join(old, "session_id", "left").filter(F.col("_old").isNull() | ~same).drop("_r", "_p", "_old")
 
 
-def roll_up(messages: DataFrame) -> DataFrame:
-    """(session_id, total_chars, user_msg_count, asst_msg_count)."""
-    return messages.groupBy("session_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("role") == "user").alias("user_msg_count"), F.count_if(F.col("role") == "assistant").alias("asst_msg_count"))
+def roll_up(messages: DataFrame, *more: Column) -> DataFrame:
+    """(session_id, total_chars, user_msg_count, asst_msg_count), and ``more`` aggregates of a session's messages."""
+    return messages.groupBy("session_id").agg(*more, F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("role") == "user").alias("user_msg_count"), F.count_if(F.col("role") == "assistant").alias("asst_msg_count"))
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memengine.functions.text import query_words, tokens
 from memengine.operators import index as ix
-from memengine.operators import recall, render, rescore, select
+from memengine.operators import driver, recall, render, rescore, select
 from memengine.plans import views as v
 
 # the tokeniser, the postings and BM25 in SQL
@@ -140,10 +140,9 @@ def render_context(spark, d) -> DataFrame:
 
 
 def recall_output(spark, d) -> DataFrame:
-    found, queries, _ = _candidates(spark, d)
-    chosen = select.select_candidates(found, queries, unique_sources=True)
-    contexts = render.render_context(chosen, queries)
-    return render.output_json(contexts, queries).join(render.diagnostics(found, chosen, contexts), "query_id")
+    docs, queries, index = _inputs(spark, d)
+    done = driver.run(queries, docs, index, unique_sources=True)
+    return done.outputs.join(done.diagnostics, "query_id")
 
 
 def embed_rescore(spark, d) -> DataFrame:

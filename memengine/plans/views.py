@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from memengine.functions.text import iso_utc, scrub, tokens
 from memengine.operators.index import build_index, match_all, query_units
+from memengine.operators.ingest import roll_up
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,7 @@ messages AS (
 def sessions(spark, sf_dir: str) -> DataFrame:
     """One row a conversation, with its roll-up."""
     m = messages(spark, sf_dir)
-    rolled = m.groupBy("session_id").agg(F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("role") == "user").alias("user_msg_count"), F.count_if(F.col("role") == "assistant").alias("asst_msg_count"), F.max("timestamp").alias("ended_at"))
+    rolled = roll_up(m, F.max("timestamp").alias("ended_at"))
     project = F.concat(F.lit("-home-u-p"), (F.col("session_id") % 7).cast("string"))
     return rolled.select(
         "session_id", F.lit("chat").alias("source"), project.alias("project_slug"), F.translate(project, "-", "/").alias("cwd"), stamp(F.col("session_id") * 60).alias("started_at"), "ended_at",
