@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import decontam, langid, lines, lm, packing, pii, quality, resampling, simhash, token_files, topk
+from memengine.llm import bpe, decontam, langid, lines, lm, packing, pii, quality, resampling, simhash, token_files, topk
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pseudo_likelihood": lm.query,
     "op10_decontaminate": decontam.query,
     "op11_importance_resampling": resampling.query,
+    "op12_byte_level_bpe": bpe.query,
 }
 ORACLE = {
     "op4_exact_topk": topk.ORACLE,
