@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from memengine.llm import bpe, decontam, langid, lines, lm, packing, pii, quality, resampling, simhash, token_files, topk
+from memengine.llm import bpe, decontam, langid, lines, lm, packing, phrases, pii, quality, resampling, simhash, token_files, topk
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op10_decontaminate": decontam.query,
     "op11_importance_resampling": resampling.query,
     "op12_byte_level_bpe": bpe.query,
+    "op13_phrase_collocations": phrases.query,
 }
 ORACLE = {
     "op4_exact_topk": topk.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op13_phrase_collocations": phrases.ORACLE,
 }
