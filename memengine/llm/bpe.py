@@ -21,10 +21,16 @@ from memengine.llm.common import cut, table
 #: Small maps that ranks, and known words, are dealt to: a prime and a power of two.
 RANK_MAPS, WORD_MAPS = 65_537, 1 << 17
 #: Words that are folded once for all, and the bytes of the longest of them: at most so many are sent to tasks.
-KNOWN, KNOWN_BYTES = 1 << 18, 64
+KNOWN, KNOWN_BYTES = 1 << 19, 64
 #: Words of more bytes are folded by replacing all pairs of the least rank at once.
 LONG = 200
-_SHIFT, _NONE = 1 << 20, 1 << 30
+#: Ids are below SHIFT, whose last is an end mark; the rank of a pair that makes no token.
+BITS = 20
+SHIFT, NONE = 1 << BITS, 1 << 30
+
+
+def long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,8 +48,9 @@ class Ranks:
     pieces: Column
 
     def merged(self, left: Column, right: Column) -> Column:
-        """The id of both pieces together, which is also the rank of their merge; null if they make no token."""
-        return let(left.cast("long") * _SHIFT + right, lambda k: F.element_at(F.get(self.pairs, F.pmod(k, F.lit(RANK_MAPS)).cast("int")), k))
+        """The id of both pieces together, which is also the rank of their merge; NONE if they make no token."""
+        key = left * long(SHIFT) + right
+        return F.coalesce(F.element_at(F.get(self.pairs, F.pmod(key, F.lit(RANK_MAPS)).cast("int")), key), long(NONE))
 
 
 def constant(value: DataFrame) -> Column:
@@ -72,13 +79,13 @@ def load(spark: SparkSession, ranks: dict[bytes, int]) -> Ranks:
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
-                key = left * _SHIFT + right
+                key = left * SHIFT + right
                 maps[key % RANK_MAPS][key] = rank
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.decode("latin-1")
     pairs = [[{"key": k, "value": v} for k, v in m.items()] for m in maps]
-    as_maps = from_python(spark, pairs, "array<array<struct<key:bigint,value:int>>>", lambda v: F.transform(v, F.map_from_entries))
+    as_maps = from_python(spark, pairs, "array<array<struct<key:bigint,value:bigint>>>", lambda v: F.transform(v, F.map_from_entries))
     return Ranks(as_maps, F.array(*(F.lit(ranks[bytes([b])]) for b in range(256))), from_python(spark, pieces, "array<string>"))
 
 
@@ -92,27 +99,25 @@ def _bytes(word: Column, ranks: Ranks) -> Column:
 
 
 def _one_by_one(word: Column, ranks: Ranks) -> Column:
-    """The first pair of the least rank is merged, again and again. ``ids`` has an end mark on both sides, and ``ranks`` the
-    rank of each id with its right neighbour; a merge changes two of them."""
-    ends = F.array(F.lit(-1))
-    ids = F.concat(ends, _bytes(word, ranks), ends)
-    start = let(ids, lambda x: F.struct(x.alias("ids"), F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: ranks.merged(F.get(x, i), F.get(x, i + 1))).alias("ranks")))
-
-    def least(s: Column) -> Column:
-        return F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"), F.array_min(s["ranks"]).alias("m"))
-
-    def merge(s: Column, p: Column) -> Column:
-        sides = F.array(ranks.merged(F.get(s["ids"], p - 2), s["m"]), ranks.merged(s["m"], F.get(s["ids"], p + 1)))
-        kept, pairs = F.size(s["ids"]), F.size(s["ranks"])
-        return F.struct(
-            F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(s["m"]), F.slice(s["ids"], p + 2, kept)).alias("ids"),
-            F.concat(F.slice(s["ranks"], F.lit(1), p - 2), sides, F.slice(s["ranks"], p + 2, pairs)).alias("ranks"),
-        )
+    """The first pair of the least rank is merged, again and again. The state has a number for each id, the rank of its merge
+    with its right neighbour times SHIFT plus the id, and an end mark on both sides; a merge changes two of them."""
 
-    def step(s: Column, _: Column) -> Column:
-        return F.when(s["m"].isNull(), s).otherwise(let(let(F.array_position(s["ranks"], s["m"]).cast("int"), lambda p: merge(s, p)), least))
+    def packed(rank: Column, of: Column) -> Column:
+        return rank * long(SHIFT) + of
+
+    def merge(e: Column, m: Column, p: Column) -> Column:
+        made = F.shiftright(m, BITS)
+        before = let(F.get(e, p - 2).bitwiseAND(long(SHIFT - 1)), lambda x: packed(ranks.merged(x, made), x))
+        behind = let(F.get(e, p + 1).bitwiseAND(long(SHIFT - 1)), lambda x: packed(ranks.merged(made, x), made))
+        return F.concat(F.slice(e, F.lit(1), p - 2), F.array(before, behind), F.slice(e, p + 2, F.size(e)))
+
+    def step(e: Column, _: Column) -> Column:
+        return let(F.array_min(e), lambda m: F.when(m >= long(NONE * SHIFT), e).otherwise(let(F.array_position(e, m).cast("int"), lambda p: merge(e, m, p))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), let(start, least), step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+    end = F.array(long(SHIFT - 1))
+    ids = F.concat(end, _bytes(word, ranks).cast("array<bigint>"), end)
+    start = let(ids, lambda x: F.transform(x, lambda v, i: packed(F.coalesce(ranks.merged(v, F.get(x, i + 1)), long(NONE)), v)))
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(long(SHIFT - 1)).cast("int")))
 
 
 def _all_at_once(word: Column, ranks: Ranks) -> Column:
@@ -126,11 +131,11 @@ def _all_at_once(word: Column, ranks: Ranks) -> Column:
         return F.split(F.btrim(s, F.lit("<>")), "><").cast("array<int>")
 
     def best(x: Column) -> Column:
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.struct(F.coalesce(ranks.merged(F.get(x, i), F.get(x, i + 1)), F.lit(_NONE)).alias("r"), i.alias("i"), F.get(x, i).alias("a"), F.get(x, i + 1).alias("b"))))
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.struct(ranks.merged(F.get(x, i).cast("long"), F.get(x, i + 1)).alias("r"), i.alias("i"), F.get(x, i).alias("a"), F.get(x, i + 1).alias("b"))))
 
     def step(s: Column, _: Column) -> Column:
         def merged(b: Column) -> Column:
-            ended = b["r"] == _NONE
+            ended = b["r"] == NONE
             text = F.when(ended, s["s"]).otherwise(F.replace(s["s"], F.format_string("<%d><%d>", b["a"], b["b"]), F.format_string("<%d>", b["r"])))
             return F.struct(text.alias("s"), ended.alias("end"))
 
