@@ -6,13 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memengine.functions.text import MAX_MEMORY, preview_slug
+from memengine.functions.text import MAX_MEMORY, json_body, preview_slug
+from memengine.operators.distill import validate
 
 MOST_SESSIONS, MOST_CHARS, GRACE_DAYS = 200, 200_000, 21
 #: Ids of a range that a task numbers.
 RANGE = 10_000
 
 
+# fixed values: what a model answers to a batch
+SUGGESTION = {"kind": {"type": "string", "enum": ["new", "update", "remove", "index"]}, "target_path": {"type": "string"}, "body": {"type": "string"}, "rationale": {"type": "string"}, "source_sessions": {"type": "array", "items": {"type": "string"}}}
+SUGGESTIONS = {
+    "type": "object", "required": ["suggestions"], "additionalProperties": False,
+    "properties": {"suggestions": {"type": "array", "items": {"type": "object", "required": [*SUGGESTION], "additionalProperties": False, "properties": SUGGESTION}}},
+}
+
+
+def suggestions_of(completions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suggestions, rejected): a row for each suggestion of the completions that fit SUGGESTIONS, with n, its place from 0; the
+    other completions with their first fault. Columns besides the completion stay; a completion without suggestions has no rows."""
+    valid, rejected = validate(completions, SUGGESTIONS)
+    listed = F.from_json(json_body(F.col("completion")), "suggestions array<struct<kind:string,target_path:string,body:string,rationale:string,source_sessions:array<string>>>")["suggestions"]
+    others = [c for c in completions.columns if c != "completion"]
+    return valid.select(*others, F.posexplode(listed).alias("n", "s")).select(*others, "n", "s.*"), rejected
+
+
 def collect_batch(distilled: DataFrame, sessions: DataFrame, ledger: DataFrame, since: str | None = None, limit: int | None = MOST_SESSIONS) -> DataFrame:
     """(session_id, ts, notes_json, dkey) of distillations that the ledger does not have, oldest activity first."""
     at = sessions.select("session_id", "ended_at", "started_at")

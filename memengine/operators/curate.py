@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memengine.functions.text import index_target
+from memengine.functions.text import index_target, json_body
+from memengine.operators.distill import validate
 
 INDEX_FILE = "MEMORY.md"
 MOST_FIELD, MOST_PROMPT = 60_000, 240_000
@@ -63,6 +64,24 @@ def review_prompts(snapshots: DataFrame, template: str, *group: str) -> DataFram
     return rows.select(*group, F.when(fault.isNull(), prompt).alias("prompt"), fault.alias("fault"))
 
 
+# fixed values: what a model answers to a review
+DECISION = {"suggestion_id": {"type": "integer"}, "decision": {"type": "string", "enum": ["accept", "reject", "merge", "defer"]}, "reason": {"type": "string"}, "body": {"type": "string"}}
+DECISIONS = {
+    "type": "object", "required": ["decisions"], "additionalProperties": False,
+    "properties": {"decisions": {"type": "array", "items": {"type": "object", "required": [*DECISION], "additionalProperties": False, "properties": DECISION}}},
+}
+
+
+def decisions_of(completions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, rejected): a row for each decision of the completions that fit DECISIONS, with n, its place from 0; the other
+    completions with their first fault. An id that is no long is null, so that ``check_decisions`` finds it unknown."""
+    valid, rejected = validate(completions, DECISIONS)
+    listed = F.from_json(json_body(F.col("completion")), "decisions array<struct<suggestion_id:decimal(38,0),decision:string,reason:string,body:string>>")["decisions"]
+    others = [c for c in completions.columns if c != "completion"]
+    rows = valid.select(*others, F.posexplode(listed).alias("n", "d"))
+    return rows.select(*others, "n", F.expr("try_cast(d.suggestion_id as long)").alias("suggestion_id"), "d.decision", "d.reason", "d.body"), rejected
+
+
 def check_decisions(decisions: DataFrame, expected: DataFrame) -> DataFrame:
     """(id, fault) of every fault: missing, unknown and repeated ids, blank reasons, bodies that only a merge may have."""
     seen = decisions.groupBy(F.col("suggestion_id").alias("id")).agg(

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memengine.functions.schema import first_fault
 from memengine.functions.text import MAX_SUMMARY, fill, json_body, key_of, truncate_middle
 from memengine.operators.documents import rendered_sessions
 
-# fixed values: fields of a distillation's notes, and of a suggestion
+# fixed values: fields of a distillation's notes
 NOTE_LISTS = ["user_facts", "preferences", "projects", "references", "decisions", "open_threads"]
-SUGGESTION_KINDS = ["new", "update", "remove", "index"]
+TEXTS = {"type": "array", "items": {"type": "string"}}
+NOTES = {"type": "object", "required": ["summary", *NOTE_LISTS], "additionalProperties": False, "properties": {"summary": {"type": "string"}, **dict.fromkeys(NOTE_LISTS, TEXTS)}}
 
 
 def prompts(pending: DataFrame, messages: DataFrame, template: str) -> DataFrame:
@@ -40,35 +42,9 @@ def complete(prompts: DataFrame, model: Callable[[list[str]], list[str | None]])
     return prompts.select("session_id", "prompt").mapInPandas(run, f"session_id {kind}, completion string")
 
 
-def _kind(value: Column) -> Column:
-    """JSON type of a VARIANT, by its schema."""
-    return F.schema_of_variant(value)
-
-
-def first_fault(completion: Column) -> Column:
-    """The first thing wrong with a completion as notes, null if nothing is: object, keys, then the type of each field."""
-    body = json_body(completion)
-    parsed = F.try_parse_json(body)
-    keys = F.json_object_keys(body)
-    wanted = ["summary", *NOTE_LISTS]
-    missing = F.array_except(F.array(*map(F.lit, wanted)), keys)
-    extra = F.array_sort(F.array_except(keys, F.array(*map(F.lit, wanted))))
-    fault = F.when(parsed.isNull(), F.lit("$: no JSON")).when(~body.startswith("{"), F.lit("$: expected object"))
-    fault = fault.when(F.size(missing) > 0, F.concat(F.lit("$: missing required keys: "), F.array_join(missing, ", ")))
-    fault = fault.when(F.size(extra) > 0, F.concat(F.lit("$: unexpected keys: "), F.array_join(extra, ", ")))
-    field = lambda name: F.try_variant_get(parsed, f"$.{name}", "variant")
-    fault = fault.when(_kind(field("summary")) != "STRING", F.lit("$.summary: expected string"))
-    for name in NOTE_LISTS:
-        items = F.try_variant_get(parsed, f"$.{name}", "array<variant>")
-        wrong = F.array_position(F.transform(items, lambda x: F.coalesce(_kind(x) != "STRING", F.lit(True))), True) - 1
-        fault = fault.when(~F.coalesce(_kind(field(name)).startswith("ARRAY"), F.lit(False)), F.lit(f"$.{name}: expected array"))
-        fault = fault.when(wrong >= 0, F.concat(F.lit(f"$.{name}["), wrong.cast("string"), F.lit("]: expected string")))
-    return fault
-
-
-def validate(completions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): completions that are notes, and the others with the first fault; a null one has no JSON."""
-    rows = completions.withColumn("fault", F.coalesce(first_fault(F.coalesce("completion", F.lit(""))), F.lit("")))
+def validate(completions: DataFrame, schema: dict = NOTES) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): completions that fit the schema, and the others with the first fault; a null one has no JSON."""
+    rows = completions.withColumn("fault", F.coalesce(first_fault(F.col("completion"), schema), F.lit("")))
     return rows.filter("fault = ''").drop("fault"), rows.filter("fault <> ''")
 
 

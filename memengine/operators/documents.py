@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memengine.functions.text import MAX_DOCUMENT, stable_id, transcript, utc_stamp
 from memengine.operators.index import Index, repaired, update_index
@@ -15,15 +18,30 @@ COMPARED = ["content_sha256", "source_kind", "trust_level", "project_slug", "sou
 EPOCH = "1970-01-01T00:00:00Z"
 
 
+@F.pandas_udf(T.StringType())
+def canonical_notes(notes: pd.Series) -> pd.Series:
+    """The JSON with keys sorted at every depth, a blank behind commas and colons, and characters as themselves; null where it
+    is no JSON, or neither an object nor an array with something in it. Numbers keep the form that Python writes, which
+    decides the content hash, so this is Python's reader and writer and no VARIANT, which forgets trailing zeros."""
+
+    def canonical(text: str | None) -> str | None:
+        try:
+            said = json.loads(text) if text else None
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(said, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace").decode() if isinstance(said, dict | list) and said else None
+
+    return notes.map(canonical)
+
+
 def distilled_documents(distilled: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One document a distillation: its notes with sorted keys if there are any, else its summary; empty ones are left out."""
+    """One document a distillation: its notes as canonical JSON if there are any, else its summary; empty ones are left out, as
+    are those with an empty key. A null key names the session."""
     rows = distilled.join(sessions.select("session_id", "project_slug"), "session_id")
-    notes = F.from_json("notes_json", "map<string,string>")
-    sorted_notes = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(notes))))
-    text = F.substring(F.coalesce(F.when(F.size(notes) > 0, sorted_notes), "summary", F.lit("")), 1, MAX_DOCUMENT)
+    text = F.substring(F.coalesce(canonical_notes("notes_json"), "summary", F.lit("")), 1, MAX_DOCUMENT)
     key = F.coalesce("distillation_key", F.concat(F.lit("legacy:"), "session_id"))
     locator, kind = F.concat(F.lit("distilled:"), key), F.lit("distilled_summary")
-    made = rows.withColumns({"_text": text, "_key": key}).filter("_text <> ''")
+    made = rows.withColumns({"_text": text, "_key": key}).filter("_text <> '' and _key <> ''")
     return made.select(
         stable_id(kind, locator).alias("doc_id"), F.sha2("_text", 256).alias("content_sha256"), kind.alias("source_kind"), F.lit("model_distilled").alias("trust_level"), "project_slug",
         locator.alias("source_path"), F.coalesce(utc_stamp(F.col("distilled_at")), F.lit(EPOCH)).alias("updated_at"), F.col("_key").alias("source_version"), F.col("_text").alias("text"),
@@ -37,13 +55,13 @@ def rendered_sessions(messages: DataFrame) -> DataFrame:
 
 
 def transcript_documents(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One untrusted document a session with messages."""
-    rows = rendered_sessions(messages).join(sessions, "session_id").withColumn("_text", F.rtrim("transcript", F.lit("\n")))
-    name = F.coalesce("external_session_id", F.col("session_id").cast("string")) if "external_session_id" in sessions.columns else F.col("session_id").cast("string")
+    """One untrusted document a session with messages, as old as the session's start."""
+    rows = rendered_sessions(messages).join(sessions, "session_id").withColumn("_text", F.rtrim("transcript", F.lit("\n"))).filter("_text <> ''")
+    name = F.coalesce(F.nullif("external_session_id", F.lit("")), F.col("session_id").cast("string")) if "external_session_id" in sessions.columns else F.col("session_id").cast("string")
     locator, kind = F.concat_ws(":", F.lit("transcript"), "source", name), F.lit("raw_transcript")
     return rows.select(
         stable_id(kind, locator).alias("doc_id"), F.sha2("_text", 256).alias("content_sha256"), kind.alias("source_kind"), F.lit("untrusted_transcript").alias("trust_level"), "project_slug",
-        locator.alias("source_path"), F.coalesce(utc_stamp(F.coalesce("ended_at", "started_at")), F.lit(EPOCH)).alias("updated_at"), F.col("source_revision").alias("source_version"), F.col("_text").alias("text"),
+        locator.alias("source_path"), F.coalesce(utc_stamp(F.col("started_at")), F.lit(EPOCH)).alias("updated_at"), F.coalesce("source_revision", F.lit("")).alias("source_version"), F.col("_text").alias("text"),
     )
 
 

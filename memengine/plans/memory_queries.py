@@ -123,8 +123,17 @@ def start_exclusions(spark, d) -> DataFrame:
     return lifecycle.session_start_exclusions(lifecycle.with_selected(lifecycle.replay(events), shown)).select("session_id", F.array_join("excluded", ",").alias("excluded"))
 
 
+def _noted(spark, d):
+    """Distillations with notes as models give them: six lists, nested values, an array at the top, none that can be read, none."""
+    i, s = F.col("session_id"), F.col("session_id").cast("string")
+    lists = F.concat(F.lit('{"summary":"of '), s, F.lit('","user_facts":["likes é, \\"a: b\\"","x"],"preferences":[],"projects":["'), F.lit("p"), s, F.lit('"],"references":["http://a/b?c=1,2"],"decisions":["d"] ,"open_threads":[]}'))
+    nested = F.concat(F.lit('{"z":null,"a":[1,2.50,-3e2,{"y":true,"B":{}, "b":[[]]}],"n":'), s, F.lit(',"ü":"\\u00fc\\n"}'))
+    notes = F.when(i % 6 == 1, nested).when(i % 6 == 2, F.lit('["b",{"d":1,"c":2},"a"]')).when(i % 6 == 3, F.lit("{oops")).when(i % 6 == 4, F.when(i % 4 == 0, F.lit("{}")).otherwise(F.lit('"text"'))).when(i % 6 == 5, F.lit(None).cast("string")).otherwise(lists)
+    return v.distilled(spark, d).withColumn("notes_json", notes)
+
+
 def distilled_documents(spark, d) -> DataFrame:
-    return documents.distilled_documents(v.distilled(spark, d), v.sessions(spark, d)).select("content_sha256", "source_path", "project_slug", "updated_at", "source_version")
+    return documents.distilled_documents(_noted(spark, d), v.sessions(spark, d)).select("content_sha256", "source_path", "project_slug", "updated_at", "source_version")
 
 
 def transcript_documents(spark, d) -> DataFrame:
@@ -165,6 +174,52 @@ def completion_validate(spark, d) -> DataFrame:
     return rejected.select("session_id", "fault").unionByName(valid.select("session_id", F.lit("").alias("fault")))
 
 
+def _quoted(text) -> F.Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _suggested(spark, d):
+    """Suggestions about every document; four in five completions broken in one way."""
+    docs, i = v.table(spark, d, "documents"), F.col("doc_id")
+    one = F.format_string('{"kind":"new","target_path":"a%d.md","body":%s,"rationale":"r","source_sessions":["s%d"]}', i, _quoted("text"), i)
+    put = lambda old, new: F.replace(one, F.lit(old), F.lit(new))
+    items = F.when(i % 10 == 0, F.concat(one, F.lit(', {"source_sessions":[],"rationale":"","body":"é\\n","target_path":"MEMORY.md","kind":"index"}'))).when(i % 10 == 1, F.concat(one, F.lit(',{"kind":"new","target_path":"b","source_sessions":[]}')))
+    items = items.when(i % 10 == 2, put('{"kind"', '{"z":1,"b":null,"kind"')).when(i % 10 == 3, put('"kind":"new"', '"kind":"drop"')).when(i % 10 == 4, put('"source_sessions":[', '"source_sessions":["a",3,')).when(i % 10 == 8, put('"rationale":"r"', '"rationale":null')).when(i % 10 == 9, F.lit('"a"'))
+    said = F.when(i % 10 == 5, F.lit('{"suggestions":{}}')).when(i % 10 == 6, F.concat(F.lit("["), one, F.lit("]"))).when(i % 10 == 7, F.lit('{"items":[]}')).otherwise(F.concat(F.lit('{"suggestions":['), items, F.lit("]}")))
+    return docs.select(i, F.when(i % 20 == 0, F.concat(F.lit("```\n"), said, F.lit("\n```"))).otherwise(said).alias("completion"))
+
+
+def suggestions_validate(spark, d) -> DataFrame:
+    rows, rejected = consolidate.suggestions_of(_suggested(spark, d))
+    return rejected.select("doc_id", "fault").unionByName(rows.select("doc_id").distinct().withColumn("fault", F.lit("")))
+
+
+def suggestions_load(spark, d) -> DataFrame:
+    rows, _ = consolidate.suggestions_of(_suggested(spark, d))
+    return rows.select("doc_id", "n", "kind", "target_path", F.sha2("body", 256).alias("body_sha256"), "rationale", F.array_join("source_sessions", ",").alias("sessions"))
+
+
+def _reviewed(spark, d):
+    """A decision on every document and the next one; most completions broken in one way."""
+    docs, i = v.table(spark, d, "documents"), F.col("doc_id")
+    fields = [("suggestion_id", F.when(i % 9 == 1, F.concat(i, F.lit(".0"))).when(i % 9 == 2, F.lit("true")).when(i % 9 == 5, F.lit("123456789012345678901")).otherwise(i.cast("string"))), ("decision", F.when(i % 9 == 3, F.lit('"later"')).otherwise(F.lit('"merge"'))), ("body", _quoted("text"))]
+    one = F.concat(F.lit("{"), *(x for name, value in fields for x in (F.lit(f'"{name}": '), value, F.lit(", "))), F.when(i % 9 == 4, F.lit('"why": "x"}')).otherwise(F.lit('"reason": "fine"}')))
+    both = F.concat(one, F.lit(',{"reason":"","body":"","decision":"defer","suggestion_id":'), i + 1, F.lit("}"))
+    said = F.when(i % 9 == 6, F.lit('{"decisions":[]}')).when(i % 9 == 7, F.lit("null")).otherwise(F.concat(F.lit('{"decisions":['), both, F.lit("]}")))
+    return docs.select(i, said.alias("completion"))
+
+
+def decisions_validate(spark, d) -> DataFrame:
+    valid, rejected = distill.validate(_reviewed(spark, d), curate.DECISIONS)
+    return rejected.select("doc_id", "fault").unionByName(valid.select("doc_id", F.lit("").alias("fault")))
+
+
+def decisions_load(spark, d) -> DataFrame:
+    rows, _ = curate.decisions_of(_reviewed(spark, d))
+    return rows.select("doc_id", "n", "suggestion_id", "decision", "reason", F.sha2("body", 256).alias("body_sha256"))
+
+
 def _loaded(spark, d):
     valid, _ = distill.validate(_completions(spark, d))
     named = v.table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), F.concat(F.lit("r"), "n_chars").alias("source_revision"), F.lit("p1").alias("parser_version"))
@@ -333,7 +388,7 @@ def event_lifecycle(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     messages_clean, session_rollup, transcripts_rendered, transcript_truncated, ingest_changes, session_upsert, source_counters, session_identity, legacy_backfill, backfill_distilled, stable_ids, doc_sync_plan, doc_sync_report,
-    doc_sync_applied, synced_index, start_exclusions, distilled_documents, transcript_documents, status_counters, distill_pending, distill_estimate, distill_prompts, completion_validate, completion_load, findings, findings_usage, consolidate_batch, batch_fit, ledger_seed,
+    doc_sync_applied, synced_index, start_exclusions, distilled_documents, transcript_documents, status_counters, distill_pending, distill_estimate, distill_prompts, completion_validate, completion_load, suggestions_validate, suggestions_load, decisions_validate, decisions_load, findings, findings_usage, consolidate_batch, batch_fit, ledger_seed,
     memory_blob, removal_gate, suggestion_binding, suggestion_previews, suggestion_conflicts, decision_check, curate_apply, curate_next_memory, review_prompts, index_merge, index_prune, eval_metrics, threshold_sweep, calibrate,
     message_search, session_summaries, chat_bundles, event_lifecycle,
 )}
@@ -352,6 +407,8 @@ _LEDGER = ", ledger AS (SELECT distillation_key, session_id, 'run' AS run_id FRO
 _BATCH = _D + _LEDGER + """, batch AS (SELECT d.session_id, coalesce(s.ended_at, s.started_at, d.distilled_at) AS ts, notes_json, coalesce(distillation_key, 'legacy:' || CAST(d.session_id AS VARCHAR)) AS dkey
   FROM distilled d JOIN sessions s ON d.session_id = s.session_id WHERE NOT EXISTS (FROM ledger l WHERE l.distillation_key = coalesce(d.distillation_key, 'legacy:' || CAST(d.session_id AS VARCHAR))))"""
 _FAULT = """CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '$: missing required keys: decisions' WHEN 2 THEN '$: unexpected keys: zzz' WHEN 3 THEN '$.projects[1]: expected string' ELSE '$: no JSON' END"""
+_FAULT_S = """(['', '$.suggestions[1]: missing required keys: body, rationale', '$.suggestions[0]: unexpected keys: b, z', '$.suggestions[0].kind: value ''drop'' is not in enum', '$.suggestions[0].source_sessions[1]: expected string', '$.suggestions: expected array',
+  '$: expected object', '$: missing required keys: suggestions', '$.suggestions[0].rationale: expected string', '$.suggestions[0]: expected object'])[doc_id % 10 + 1]"""
 _SNAP = _G + """, snap AS (SELECT s.*, m.body AS cur, m.sha256 AS cur_sha, m.path IS NOT NULL AS there,
   CASE WHEN s.target IS NULL THEN true ELSE (s.base_sha256 IS NOT NULL AND s.base_sha256 IS DISTINCT FROM m.sha256) OR (s.base_sha256 IS NULL AND s.target_existed = 0 AND m.path IS NOT NULL) END AS conflict
   FROM sugg s LEFT JOIN memory m ON m.path = s.target WHERE status = 'pending')"""
@@ -396,15 +453,25 @@ ORACLE = {
     "start_exclusions": _EVENTS + " SELECT session_id, string_agg(id, ',' ORDER BY id) AS excluded FROM ids GROUP BY 1",
     "synced_index": "WITH " + v.DOCS + r""", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM docs)
       SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1""",
-    "distilled_documents": _D + """, t AS (SELECT d.*, s.project_slug, coalesce(distillation_key, 'legacy:' || CAST(d.session_id AS VARCHAR)) AS k, '{"project":"' || s.project_slug || '","summary":"' || summary || '"}' AS text FROM distilled d JOIN sessions s ON d.session_id = s.session_id)
+    "distilled_documents": _D + """, n AS (SELECT *, CAST(session_id AS VARCHAR) AS s, session_id % 6 AS m FROM distilled),
+      t AS (SELECT n.*, project_slug, coalesce(distillation_key, 'legacy:' || s) AS k, CASE m
+        WHEN 0 THEN '{"decisions": ["d"], "open_threads": [], "preferences": [], "projects": ["p' || s || '"], "references": ["http://a/b?c=1,2"], "summary": "of ' || s || '", "user_facts": ["likes é, \\"a: b\\"", "x"]}'
+        WHEN 1 THEN '{"a": [1, 2.5, -300.0, {"B": {}, "b": [[]], "y": true}], "n": ' || s || ', "z": null, "ü": "ü\\n"}' WHEN 2 THEN '["b", {"c": 2, "d": 1}, "a"]' ELSE summary END AS text FROM n JOIN (SELECT session_id, project_slug FROM sessions) USING (session_id))
       SELECT sha256(text) AS content_sha256, 'distilled:' || k AS source_path, project_slug, strftime(TIMESTAMP '2024-01-01' + to_minutes(session_id * 60 + 5000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN session_id % 3 = 0 THEN '.125000Z' ELSE 'Z' END AS updated_at, k AS source_version FROM t""",
-    "transcript_documents": _S + _RENDERED + " SELECT 'transcript:chat:' || CAST(s.session_id AS VARCHAR) AS source_path, project_slug, ended_at AS updated_at, CAST(length(rtrim(t, chr(10))) AS INTEGER) AS n_chars FROM rendered r JOIN sessions s ON r.session_id = s.session_id",
+    "transcript_documents": _S + _RENDERED + " SELECT 'transcript:chat:' || CAST(s.session_id AS VARCHAR) AS source_path, project_slug, started_at AS updated_at, CAST(length(rtrim(t, chr(10))) AS INTEGER) AS n_chars FROM rendered r JOIN sessions s ON r.session_id = s.session_id",
     "status_counters": "WITH " + v.DISTILLED[1:] + "," + v.SUGGESTIONS + """ SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(DISTINCT project_slug) FROM sessions) AS projects, (SELECT count(*) FROM messages) AS messages, (SELECT count(*) FROM distilled) AS distilled, (SELECT max(distilled_at) FROM distilled) AS last_distilled,
       count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected FROM sugg""",
     "distill_pending": _D + _PENDING + " SELECT session_id, total_chars, started_at FROM pending",
     "distill_estimate": _D + _PENDING + " SELECT count(*) AS sessions, CAST(sum(total_chars) AS BIGINT) AS total_chars, CAST(floor(sum(total_chars) / 4) AS BIGINT) AS input_tokens, count(*) * 500 AS output_tokens FROM pending",
     "distill_prompts": _D + _PENDING + _RENDERED + f", p AS (SELECT r.session_id, 'Session of ' || started_at || ' in ' || cwd || ' (' || project_slug || '):' || chr(10) || {_CUT.format(150000, 90000, 60000)} AS prompt FROM rendered r JOIN pending USING (session_id)) SELECT session_id, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_sha256 FROM p",
     "completion_validate": f"SELECT doc_id AS session_id, {_FAULT} AS fault FROM documents",
+    "suggestions_validate": f"SELECT doc_id, {_FAULT_S} AS fault FROM documents",
+    "suggestions_load": """SELECT doc_id, CAST(0 AS INTEGER) AS n, 'new' AS kind, 'a' || CAST(doc_id AS VARCHAR) || '.md' AS target_path, sha256(text) AS body_sha256, 'r' AS rationale, 's' || CAST(doc_id AS VARCHAR) AS sessions FROM documents WHERE doc_id % 10 = 0
+      UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'index', 'MEMORY.md', sha256('é' || chr(10)), '', '' FROM documents WHERE doc_id % 10 = 0""",
+    "decisions_validate": """SELECT doc_id, CASE WHEN doc_id % 9 IN (1, 2) THEN '$.decisions[0].suggestion_id: expected integer' WHEN doc_id % 9 = 3 THEN '$.decisions[0].decision: value ''later'' is not in enum'
+      WHEN doc_id % 9 = 4 THEN '$.decisions[0]: missing required keys: reason' WHEN doc_id % 9 = 7 THEN '$: expected object' ELSE '' END AS fault FROM documents""",
+    "decisions_load": """SELECT doc_id, CAST(0 AS INTEGER) AS n, CASE WHEN doc_id % 9 <> 5 THEN doc_id END AS suggestion_id, 'merge' AS decision, 'fine' AS reason, sha256(text) AS body_sha256 FROM documents WHERE doc_id % 9 IN (0, 5, 8)
+      UNION ALL SELECT doc_id, CAST(1 AS INTEGER), doc_id + 1, 'defer', '', sha256('') FROM documents WHERE doc_id % 9 IN (0, 5, 8)""",
     "completion_load": "SELECT doc_id AS session_id, sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), 'r' || CAST(n_chars AS VARCHAR), 'p1', 'v1', 'local', '', '{}')) AS distillation_key, left('about ' || text, 500) AS summary FROM documents WHERE doc_id % 5 = 0",
     "findings": "SELECT doc_id AS session_id, unnest(['user_facts', 'preferences', 'projects', 'references', 'decisions', 'open_threads']) AS bucket, CAST(0 AS INTEGER) AS n, text FROM documents WHERE doc_id % 5 = 0",
     "findings_usage": "SELECT count(*) AS distilled, count(*) * 6 AS findings FROM documents WHERE doc_id % 5 = 0",

@@ -202,7 +202,7 @@ def test_batch_fit_keeps_the_first(spark):
 def test_sync_is_stable(spark, recalled):
     docs = recalled[0].drop("scrubbed")
     assert {r.action for r in documents.sync_plan(docs, docs, ["approved_memory"]).collect()} == {"skip"}
-    assert {(r.doc_id, r.action) for r in documents.sync_plan(docs, docs.limit(0), ["distilled_summary"]).collect()} == {("doc-summary", "delete")}
+    assert {(r.doc_id, r.action) for r in documents.sync_plan(docs, docs.limit(0), ["distilled_summary"]).collect()} == {("harvest-notes", "delete")}
 
 
 def chat_rows(spark):
