@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,11 +33,13 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 class Index:
     """postings(term, doc_id, dl, tf, positions) and lengths(doc_id, dl), over every document, matching or not.
 
-    dl is the document's length; postings have it too, so that scoring needs no other table than them.
+    dl is the document's length; postings have it too, so that scoring needs no other table than them. A stored index has
+    its postings in ``buckets`` folders by the terms' hashes, and readers of a batch's terms open only their folders.
     """
 
     postings: DataFrame
     lengths: DataFrame
+    buckets: int | None = None
 
     def statistics(self) -> DataFrame:
         """One row: n_docs and average length."""
@@ -44,15 +49,56 @@ class Index:
         """(term, df, cf): documents and occurrences of each term."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
+    def of_terms(self, asked: DataFrame, term: str = "term") -> DataFrame:
+        """Postings from the folders of the asked terms, all of them if the index is not stored; a job finds which folders, at
+        most ``buckets``, so that the scan is pruned when it is planned."""
+        if self.buckets is None:
+            return self.postings
+        wanted = sorted(r["bucket"] for r in asked.select(_bucket(F.col(term), self.buckets).alias("bucket")).distinct().collect())
+        return self.postings.filter(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each document, made from its row alone: its terms are numbered, and places sorted by number."""
+    for batch in batches:
+        lists = batch.column("terms")
+        coded = lists.flatten().dictionary_encode()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row, term = np.repeat(np.arange(len(size)), size), coded.indices.to_numpy().astype(np.int64)
+        order = np.lexsort((term, row))
+        row, term = row[order], term[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.zeros(0, np.int64)
+        ends = np.append(first, len(row))
+        place = (order - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place))
+        whose = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), batch.column("doc_id").take(whose), pa.array(size[row[first]]), pa.array(np.diff(ends)), positions], names=["term", "doc_id", "dl", "tf", "positions"])
+
 
 def build_index(docs: DataFrame, stemmed: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Index of the documents' tokens, or of their stems. Positions count from 0; a document without tokens has length 0."""
+    """Index of the documents' tokens, or of their stems. Positions count from 0; a document without tokens has length 0.
+
+    A document's occurrences are grouped where the document is, so nothing is shuffled.
+    """
     words = tokens(F.col(text_col))
     terms = docs.select(F.col(id_col).alias("doc_id"), (stems(words) if stemmed else words).alias("terms"))
-    dl = F.size("terms").cast("long").alias("dl")
-    placed = terms.select("doc_id", dl, F.posexplode("terms").alias("pos", "term"))
-    postings = placed.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, terms.select("doc_id", dl))
+    kind = terms.schema["doc_id"].dataType.simpleString()
+    postings = terms.mapInArrow(_inverted, f"term string, doc_id {kind}, dl long, tf long, positions array<int>")
+    return Index(postings, terms.select("doc_id", F.size("terms").cast("long").alias("dl")))
+
+
+def store_index(index: Index, folder: str, buckets: int = 64, mode: str = "errorifexists") -> None:
+    """Writes the index: every task adds its postings to the folders of their terms, without a shuffle."""
+    index.postings.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(f"{folder}/postings-{buckets}")
+    index.lengths.write.mode(mode).parquet(f"{folder}/lengths")
+
+
+def load_index(spark: SparkSession, folder: str, buckets: int = 64) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings-{buckets}"), spark.read.parquet(f"{folder}/lengths"), buckets)
 
 
 def update_index(old: Index, changed: DataFrame, removed: DataFrame, **how) -> Index:
@@ -60,19 +106,46 @@ def update_index(old: Index, changed: DataFrame, removed: DataFrame, **how) -> I
     new = build_index(changed, **how)
     gone = removed.select("doc_id").union(new.lengths.select("doc_id")).distinct()
     keep = lambda df: df.join(gone, "doc_id", "left_anti")
-    return Index(keep(old.postings).unionByName(new.postings), keep(old.lengths).unionByName(new.lengths))
+    postings = old.postings.drop("bucket")
+    return Index(keep(postings).unionByName(new.postings), keep(old.lengths).unionByName(new.lengths))
+
 
+def _mark(term: Column, positions: Column) -> Column:
+    """A number for a term's places; those of all terms of a document make the same number in any order."""
+    return F.aggregate(F.transform(positions, lambda p: F.xxhash64(term, p)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
-def index_health(docs: DataFrame, index: Index) -> DataFrame:
-    """One row: documents in the table and in the index, ids that only one has, and whether the index is sound."""
-    both = docs.select(F.col("doc_id"), F.lit(1).alias("t")).join(index.lengths.select("doc_id", F.lit(1).alias("i")), "doc_id", "full_outer")
-    counted = both.agg(F.count("t").alias("n_table"), F.count("i").alias("n_index"), F.count_if(F.col("i").isNull()).alias("missing"), F.count_if(F.col("t").isNull()).alias("stale"))
-    return counted.withColumn("sound", (F.col("missing") == 0) & (F.col("stale") == 0))
+
+def index_faults(docs: DataFrame, index: Index, stemmed: bool = False) -> DataFrame:
+    """(doc_id, fault): documents that the index does not have (``missing``), that only the index has (``stale``), and those whose
+    postings or length are not those of their text (``damaged``): a changed text, a lost or a foreign posting.
+
+    Texts are cut into tokens again where they are; what is shuffled is a number for each document.
+    """
+    words = tokens(F.col("text"))
+    terms = docs.select("doc_id", (stems(words) if stemmed else words).alias("terms"))
+    whole = F.aggregate(F.transform("terms", lambda t, i: F.xxhash64(t, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    want = terms.select("doc_id", F.struct(F.size("terms").cast("long").alias("dl"), F.size("terms").cast("long").alias("n"), whole.alias("mark")).alias("want"))
+    placed = index.postings.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.bit_xor(_mark(F.col("term"), F.col("positions"))).alias("mark"), F.min("dl").alias("least"), F.max("dl").alias("most"))
+    one = index.lengths.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.count("*").alias("rows"))
+    right = (F.col("rows") == 1) & (F.coalesce("least", "dl") == F.col("dl")) & (F.coalesce("most", "dl") == F.col("dl"))
+    found = one.join(placed, "doc_id", "full_outer").select("doc_id", F.when(right, F.struct("dl", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mark", F.lit(0)).alias("mark"))).alias("have"), F.lit(True).alias("there"))
+    fault = F.when(F.col("there").isNull(), "missing").when(F.col("want").isNull(), "stale").when(~F.col("want").eqNullSafe(F.col("have")), "damaged")
+    return want.join(found, "doc_id", "full_outer").select("doc_id", fault.alias("fault")).filter("fault is not null")
+
+
+def index_health(docs: DataFrame, index: Index, **how) -> DataFrame:
+    """One row: documents in the table and in the index, how many have which fault, and whether the index is sound."""
+    count = lambda f: F.count_if(F.col("fault") == f).alias(f)
+    faults = index_faults(docs, index, **how).agg(count("missing"), count("stale"), count("damaged"))
+    sizes = docs.agg(F.count("*").alias("n_table")).join(index.lengths.agg(F.count("*").alias("n_index")))  # one row each
+    return sizes.join(faults).withColumn("sound", F.col("missing") + F.col("stale") + F.col("damaged") == 0)
 
 
 def repaired(docs: DataFrame, index: Index, **how) -> Index:
-    """The index as it is where it is sound, else one built anew from the documents."""
-    return index if index_health(docs, index).first()["sound"] else build_index(docs, **how)
+    """The index after documents that it lacks or has wrong are indexed again, and those that are gone have left; the rest stays."""
+    faults = index_faults(docs, index, **how)
+    again = docs.join(faults.filter("fault <> 'stale'"), "doc_id", "left_semi")
+    return update_index(index, again, faults.filter("fault = 'stale'"), **how)
 
 
 def query_units(queries: DataFrame, words: Column, stemmed: bool = False) -> DataFrame:
@@ -87,16 +160,18 @@ def query_units(queries: DataFrame, words: Column, stemmed: bool = False) -> Dat
 def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """(phrase_id, doc_id, dl, tf): documents in which the terms of ``phrases(phrase_id, terms)`` stand in a row, and how often."""
     parts = small(phrases.select("phrase_id", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term")))
-    one = parts.filter("n = 1").join(index.postings, "term").select("phrase_id", "doc_id", "dl", "tf")
-    starts = parts.filter("n > 1").join(index.postings, "term").select("phrase_id", "n", "doc_id", "dl", "offset", F.explode("positions").alias("pos"))
+    postings = index.of_terms(parts)
+    one = parts.filter("n = 1").join(postings, "term").select("phrase_id", "doc_id", "dl", "tf")
+    starts = parts.filter("n > 1").join(postings, "term").select("phrase_id", "n", "doc_id", "dl", "offset", F.explode("positions").alias("pos"))
     rows = starts.groupBy("phrase_id", "n", "doc_id", "dl", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("have")).filter("have = n")
     return one.unionByName(rows.groupBy("phrase_id", "doc_id", "dl").agg(F.count("*").alias("tf")))
 
 
 def near_hits(pairs: DataFrame, index: Index, distance: int = 10) -> DataFrame:
     """(pair_id, doc_id): documents in which the terms of ``pairs(pair_id, left, right)`` have at most ``distance`` words between."""
-    a = small(pairs).join(index.postings.select(F.col("term").alias("left"), "doc_id", F.col("positions").alias("p")), "left")
-    b = a.join(index.postings.select(F.col("term").alias("right"), "doc_id", F.col("positions").alias("q")), ["right", "doc_id"])
+    postings = index.of_terms(pairs.select(F.explode(F.array("left", "right")).alias("term")))
+    a = small(pairs).join(postings.select(F.col("term").alias("left"), "doc_id", F.col("positions").alias("p")), "left")
+    b = a.join(postings.select(F.col("term").alias("right"), "doc_id", F.col("positions").alias("q")), ["right", "doc_id"])
     close = F.exists("p", lambda x: F.exists("q", lambda y: (x != y) & (F.abs(x - y) - 1 <= distance)))
     return b.filter(close).select("pair_id", "doc_id").distinct()
 

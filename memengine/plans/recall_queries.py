@@ -91,8 +91,25 @@ def prefix_search(spark, d) -> DataFrame:
 
 
 def index_health(spark, d) -> DataFrame:
+    """An index without raw transcripts, in which every tenth text is an older one and a term has lost its postings."""
+    docs, index = _damaged(spark, d)
+    return ix.index_health(docs, index)
+
+
+def index_faults(spark, d) -> DataFrame:
+    return ix.index_faults(*_damaged(spark, d))
+
+
+def index_repair(spark, d) -> DataFrame:
+    """Terms of the index after repair; the same as a new index has."""
+    return ix.repaired(*_damaged(spark, d)).term_statistics()
+
+
+def _damaged(spark, d):
     docs = v.recall_documents(spark, d)
-    return ix.index_health(docs, ix.build_index(docs.filter("source_kind <> 'raw_transcript'")))
+    old = F.when(F.substring("doc_id", 2, 9).cast("long") % 10 == 0, F.concat("text", F.lit(" older"))).otherwise(F.col("text"))
+    index = ix.build_index(docs.filter("source_kind <> 'raw_transcript'").withColumn("text", old))
+    return docs, ix.Index(index.postings.filter("term <> 'the'"), index.lengths)
 
 
 def incremental_index(spark, d) -> DataFrame:
@@ -170,7 +187,7 @@ def scrub_documents(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    term_stats, bm25_topk, phrase_search, near_search, prefix_search, index_health, incremental_index, structured_signal, path_signal, recency_signal, rrf_fuse, select_candidates, select_by_fold,
+    term_stats, bm25_topk, phrase_search, near_search, prefix_search, index_health, index_faults, index_repair, incremental_index, structured_signal, path_signal, recency_signal, rrf_fuse, select_candidates, select_by_fold,
     render_context, recall_output, embed_rescore, rerank_rescore, scrub_documents,
 )}
 
@@ -185,6 +202,9 @@ scored AS (SELECT query_id, doc_id, position, bad, CASE WHEN position <= {top} A
 SELECT query_id, CAST(CASE WHEN bad THEN position ELSE row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) END AS INTEGER) AS position, doc_id, round(score, 6) AS score,
        CASE WHEN bad THEN 'lexical' ELSE '{mode}' END AS mode FROM scored"""
 
+_HEALTH = "WITH " + v.DOCS + r""", health AS (SELECT doc_id, CASE WHEN source_kind = 'raw_transcript' THEN 'missing' WHEN CAST(doc_id[2:] AS BIGINT) % 10 = 0
+  OR list_contains(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), 'the') THEN 'damaged' END AS fault FROM docs)"""
+
 ORACLE = {
     "term_stats": _BASE + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY 1",
     "bm25_topk": _BASE + " SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM matched QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
@@ -194,7 +214,9 @@ ORACLE = {
       SELECT DISTINCT query_id, a.doc_id FROM p JOIN occ a ON a.term = w[2] JOIN occ b ON b.doc_id = a.doc_id AND b.term = w[5] AND b.pos <> a.pos AND abs(a.pos - b.pos) <= 4""",
     "prefix_search": _BASE + r""", p AS (SELECT query_id, left(regexp_extract_all(lower(strip_accents(query_text)), '[\p{L}\p{N}]+')[1], 4) AS prefix FROM q)
       SELECT query_id, term FROM p JOIN (SELECT DISTINCT term FROM postings) ON starts_with(term, prefix)""",
-    "index_health": "WITH " + v.DOCS + " SELECT count(*) AS n_table, count(*) FILTER (source_kind <> 'raw_transcript') AS n_index, count(*) FILTER (source_kind = 'raw_transcript') AS missing, CAST(0 AS BIGINT) AS stale, count(*) FILTER (source_kind = 'raw_transcript') = 0 AS sound FROM docs",
+    "index_health": _HEALTH + " SELECT count(*) AS n_table, count(*) FILTER (fault IS DISTINCT FROM 'missing') AS n_index, count(*) FILTER (fault = 'missing') AS missing, CAST(0 AS BIGINT) AS stale, count(*) FILTER (fault = 'damaged') AS damaged, count(fault) = 0 AS sound FROM health",
+    "index_faults": _HEALTH + " SELECT doc_id, fault FROM health WHERE fault IS NOT NULL",
+    "index_repair": _BASE + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY 1",
     "incremental_index": "WITH " + v.DOCS + r""", now AS (SELECT doc_id, text || CASE WHEN CAST(doc_id[2:] AS BIGINT) % 10 = 0 THEN ' rewritten' ELSE '' END AS text FROM docs WHERE CAST(doc_id[2:] AS BIGINT) % 11 <> 0),
       t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM now) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1""",
     "structured_signal": _ALL + _RANKS + "structured",

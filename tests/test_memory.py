@@ -325,7 +325,7 @@ def test_search_and_snippets(spark):
     phrases = spark.createDataFrame([(1, ["postgr", "databas"]), (2, ["databas", "postgr"]), (3, ["migrat"])], "phrase_id int, terms array<string>")
     assert {(r.phrase_id, r.doc_id, r.tf) for r in ix.phrase_hits(phrases, index).collect()} == {(1, "m1", 1), (3, "m1", 1), (3, "m2", 1), (3, "m3", 1)}
     changed = ix.update_index(index, messages.filter("doc_id = 'm2'").withColumn("text", F.lit("nothing")), messages.filter("doc_id = 'm3'"), stemmed=True)
-    assert ix.index_health(messages, changed).first().asDict() == {"n_table": 3, "n_index": 2, "missing": 1, "stale": 0, "sound": False}
+    assert ix.index_health(messages, changed, stemmed=True).first().asDict() == {"n_table": 3, "n_index": 2, "missing": 1, "stale": 0, "damaged": 1, "sound": False}
 
 
 def test_only_rows_that_can_fit_are_rendered(spark):
