@@ -8,6 +8,7 @@ the score of a language's 2 x ``limit``-th pair of words, and fall until ``limit
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import cut, hash_filter, mix, passes, table
+from memengine.llm.common import LOWER_BYTES, buffers, chunks, cut, hash_filter, mix, passes, span_hash, table, words
 
 LONGEST, LEAST, LIMIT = 4, 30, 2000
 #: A candidate goes if a longer one that contains it has so many in a hundred of its occurrences.
@@ -27,7 +28,7 @@ SHARE = 80
 #: Times as many pairs of words as are wanted that the first threshold admits, and the growth of that from round to round.
 FIRST, MORE = 2, 8
 #: Words of one language that a task counts at once.
-HELD = 4_000_000
+HELD = 3_000_000
 SCALE = 1_000_000
 
 #: A-Z become a-z, the marks and line ends that end a piece a line feed, and a tab a blank.
@@ -35,15 +36,24 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" els
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _seed(lang: str) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(lang.encode(), 13)], np.uint64)
+#: Bytes of words, and of what ends a piece, in texts that are ``_PLAIN``.
+_WORD, _MARK = (np.array([test(c) for c in range(256)]) for test in (lambda c: c not in b" \t\n\x0b\x0c\r.,;:!?", lambda c: c in b"\n\x0b\x0c\r.,;:!?"))
+
+
+def _seeds(langs: list[str]) -> np.ndarray:
+    known = {lang: xxhash.xxh64_intdigest(lang.encode(), 13) for lang in set(langs)}
+    return np.array([known[lang] for lang in langs], np.uint64)
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of phrases from those of all words but the last, and of the last."""
+    """Hashes of phrases from those of all words but the last, and of the last; a language's seed is the phrase of no word."""
     return mix(prefix * _STEP + word)
 
 
+def _spelt(lang: list, phrase: pa.Array, n: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+
+
 class _Words:
     """Words of one language in the order of the texts, as numbers; 0 stands between pieces."""
 
@@ -60,40 +70,26 @@ class _Words:
         self.runs += [run[run >= 0], np.zeros(1, np.int32)]
         self.n += len(run)
 
-    def grams(self, n: int, every: list, some: list) -> pa.RecordBatch:
-        """Distinct phrases of n words and their counts, of those that pass all of ``every`` and one of ``some``: filters of
-        the hashes of the ``order`` words from place ``at`` on."""
+    def grams(self, n: int, frequent: np.ndarray | None) -> pa.RecordBatch:
+        """Distinct words, or pairs of frequent words, and their counts; of words also a row without one, with their sum."""
         run, names = np.concatenate(self.runs), list(self.of)
         names[:2] = [b"\n"]  # the empty string between blanks is no word
-        inside = run > 0
-        starts = np.flatnonzero(np.logical_and.reduce([inside[i : len(run) - n + 1 + i] for i in range(n)])) if len(run) >= n else np.zeros(0, np.int64)
-        if every or some:
-            word = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)[run]
-            hashes = [_longer(_seed(self.lang), word)]
-            for i in range(1, max(order for order, _, _ in every + some)):
-                hashes.append(_longer(hashes[-1][:-1], word[i:]))
-            for order, at, bits in every:
-                starts = starts[passes(bits, hashes[order - 1][starts + at])]
-            if some:
-                starts = starts[np.logical_or.reduce([passes(bits, hashes[order - 1][starts + at]) for order, at, bits in some])]
-        key = run[starts].astype(np.int64)
-        for i in range(1, n):
-            if i > 1:
-                key = np.unique(key, return_inverse=True)[1]
-            key = key << 32 | run[starts + i]
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
         spelt = pa.array(names, pa.binary())
-        parts = [spelt.take(pa.array(run[starts[first] + i])) for i in range(n)]
-        phrase = (pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]).cast(pa.string())
-        total = [int(inside.sum())] if n == 1 else []  # a row without a phrase
-        phrase = pa.concat_arrays([phrase, pa.nulls(len(total), pa.string())])
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), phrase, pa.array([*count.tolist(), *total], pa.int64())], names=["lang", "phrase", "n"])
-
-
-def _counts(docs: DataFrame, n: int, every: list = (), some: list = ()) -> DataFrame:
-    """(lang, phrase, n) of the phrases of n words that pass the filters; of single words also a row with the sum, whose phrase is null."""
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast((list(every), list(some)))  # filters have a fixed size
+        if n == 1:
+            count = np.bincount(run, minlength=len(names))[1:]
+            return _spelt([self.lang] * len(names), pa.concat_arrays([spelt[1:], pa.nulls(1, pa.binary())]), [*count.tolist(), int(count.sum())])
+        data, at = buffers(spelt)
+        often = passes(frequent, _longer(_seeds([self.lang]), span_hash(data, at[:-1], at[1:])))
+        often[0] = False
+        starts = np.flatnonzero(often[run[:-1]] & often[run[1:]])
+        key, count = np.unique(run[starts].astype(np.int64) << 32 | run[starts + 1], return_counts=True)
+        phrase = pc.binary_join_element_wise(spelt.take(pa.array(key >> 32)), spelt.take(pa.array(key & 0xFFFFFFFF)), b" ")
+        return _spelt([self.lang] * len(key), phrase, count)
+
+
+def _all(docs: DataFrame, n: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, n) of all words, with a row for each language whose phrase is null and n their sum, or of all pairs of frequent words."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, _Words] = {}
@@ -102,27 +98,68 @@ def _counts(docs: DataFrame, n: int, every: list = (), some: list = ()) -> DataF
                 words = open_.get(lang) or open_.setdefault(lang, _Words(lang))
                 words.add(body.as_buffer().to_pybytes())
                 if words.n >= HELD:
-                    yield open_.pop(lang).grams(n, *held.value)
-        for words in open_.values():
-            yield words.grams(n, *held.value)
+                    yield open_.pop(lang).grams(n, held.value)
+        while open_:
+            yield open_.popitem()[1].grams(n, held.value)
+
+    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of the phrases of 1, 2, ... n words that begin at each word, as far as there are as many."""
+    word = span_hash(data, start, end)
+    out = [_longer(seed, word)]
+    for i in range(1, n):
+        out.append(_longer(out[-1][: max(0, len(word) - i)], word[i:]))
+    return out
+
+
+def _some(docs: DataFrame, n: int, every: list, some: list) -> DataFrame:
+    """(lang, phrase, n) of the phrases of n words that pass all of ``every`` and one of ``some``: filters of the hashes of the
+    ``order`` words from place ``at`` on. Most of a text passes none, and is never spelt."""
+    held = docs.sparkSession.sparkContext.broadcast((list(every), list(some)))  # filters have a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, some = held.value
+        met: Counter = Counter()
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for a, b, data, at in chunks(batch.column("body"), 4 << 20):
+                data = LOWER_BYTES[data]
+                start, end, count = words(data, at, _WORD)
+                if len(start) < n:
+                    continue
+                of = np.repeat(np.arange(a, b), count)
+                piece = np.cumsum(_MARK[data], dtype=np.int32)[start]
+                last = len(start) - n + 1
+                starts = np.flatnonzero((of[:last] == of[n - 1 :]) & (piece[:last] == piece[n - 1 :]))
+                hashes = _hashes(data, start, end, _seeds(langs[a:b])[of - a], max(order for order, _, _ in every + some))
+                for order, place, bits in every:
+                    starts = starts[passes(bits, hashes[order - 1][starts + place])]
+                starts = starts[np.logical_or.reduce([passes(bits, hashes[order - 1][starts + place]) for order, place, bits in some])]
+                text = data.tobytes()
+                ends = np.array([end[starts + i] for i in range(n)]).T.tolist()
+                begins = np.array([start[starts + i] for i in range(n)]).T.tolist()
+                met.update((langs[i], b" ".join([text[s:e] for s, e in zip(x, y, strict=True)])) for i, x, y in zip(of[starts].tolist(), begins, ends, strict=True))
+                if len(met) > HELD // 4:
+                    yield _spelt([k[0] for k in met], pa.array([k[1] for k in met], pa.binary()), list(met.values()))
+                    met.clear()
+        yield _spelt([k[0] for k in met], pa.array([k[1] for k in met], pa.binary()), list(met.values()))
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _filter(phrases: DataFrame) -> np.ndarray:
-    """A hash filter of the phrases' words, for tasks."""
+def _filter(phrases: DataFrame, n: int) -> np.ndarray:
+    """A hash filter of phrases of n words, for tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)):
-                h = _seed(lang)
-                for w in phrase.split(" "):
-                    h = _longer(h, np.array([xxhash.xxh64_intdigest(w.encode())], np.uint64))
-                out[i] = h[0]
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
+            for a, b, data, at in chunks(batch.column("phrase")):
+                start, end, _ = words(data, at, _WORD)
+                h = _hashes(data, start, end, np.repeat(_seeds(batch.column("lang").slice(a, b - a).to_pylist()), n), n)[-1][::n]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    return hash_filter(phrases.select("lang", "phrase").mapInArrow(run, "h long"), "h")
+    return hash_filter(phrases.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(run, "h long"), "h")
 
 
 def _head(k: int) -> F.Column:
@@ -170,13 +207,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, li
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     spark, enough = docs.sparkSession, F.col("n") >= least
-    ones = cut(_counts(rows, 1).filter(F.col("phrase").isNull() | enough))
+    ones = cut(_all(rows, 1).filter(F.col("phrase").isNull() | enough))
     totals = ones.filter("phrase is null").select("lang", "n")
     known = ones = ones.filter("phrase is not null")
-    word = _filter(ones)
-    twos = cut(_counts(rows, 2, every=[(1, 0, word), (1, 1, word)]).filter(enough))
+    word = _filter(ones, 1)
+    twos = cut(_all(rows, 2, word).filter(enough))
     pairs = cut(_scored(twos, 2, ones))
-    pair = _filter(pairs)
+    pair = _filter(pairs, 2)
     done, wanted = [], first * limit
     open_ = _thresholds(pairs, wanted)
     while open_:
@@ -186,8 +223,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, li
         for m in range(2, longest + 1):
             if m > 2:
                 # grown by a word from a prefix that allows the threshold, or around a phrase that reaches it
-                some = [(m - 1, 0, _filter(level.filter(_in_parts("a", "first + a") >= F.col("least")))), (m - 1, 1, _filter(level.filter("score >= least")))]
-                grams = cut(_counts(rows, m, every=[(2, i, pair) for i in range(m - 1)], some=some).filter(enough))
+                some = [(m - 1, 0, _filter(level.filter(_in_parts("a", "first + a") >= F.col("least")), m - 1)), (m - 1, 1, _filter(level.filter("score >= least"), m - 1))]
+                grams = cut(_some(rows, m, every=[(2, i, pair) for i in range(m - 1)], some=some).filter(enough))
                 within += [grams.select("lang", part(m - 1).alias("phrase"), "n") for part in (_head, _tail)]
                 level = _level(rows, grams, m, known, ones, threshold, enough)
                 known = known.unionByName(grams)
@@ -218,7 +255,7 @@ def _level(rows: DataFrame, grams: DataFrame, m: int, known: DataFrame, ones: Da
     for size in range(3, m):
         missing = cut(able.select("lang", _tail(size).alias("phrase")).distinct().join(known, ["lang", "phrase"], "left_anti"))
         if not missing.isEmpty():
-            asked = _counts(rows, size, some=[(size, 0, _filter(missing))]).join(missing, ["lang", "phrase"], "left_semi")
+            asked = _some(rows, size, every=[], some=[(size, 0, _filter(missing, size))]).join(missing, ["lang", "phrase"], "left_semi")
             known = known.unionByName(cut(asked.filter(enough)))
     return cut(_scored(able, m, known).join(threshold, "lang"))
 
