@@ -8,6 +8,7 @@ where it stands. Ranks and words are looked up in arrays of small maps, as a map
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -53,17 +54,18 @@ class Ranks:
         return F.coalesce(F.element_at(F.get(self.pairs, F.pmod(key, F.lit(RANK_MAPS)).cast("int")), key), long(NONE))
 
 
-def constant(value: DataFrame) -> Column:
+def constant(value: DataFrame, name: str) -> Column:
     """The one value of a table as a literal, which is one block of memory: it passes through a session variable, as
-    higher-order functions take no subquery."""
-    spark, name = value.sparkSession, f"constant_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} {value.schema[0].dataType.simpleString()}")
+    higher-order functions take no subquery. Columns that are made of it keep the value when the name gets another."""
+    spark, name = value.sparkSession, f"bpe_{name}"
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {value.schema[0].dataType.simpleString()}")
     spark.sql(f"SET VARIABLE {name} = (SELECT * FROM {{value}})", value=value)
     return F.col(f"system.session.{name}")
 
 
 def from_python(spark: SparkSession, value: object, kind: str, shape: Callable[[Column], Column] = lambda v: v) -> Column:
-    return constant(spark.createDataFrame([(json.dumps({"v": value}),)], "v string").select(shape(F.from_json("v", f"v {kind}")["v"]).alias("v")))
+    text = json.dumps({"v": value})
+    return constant(spark.createDataFrame([(text,)], "v string").select(shape(F.from_json("v", f"v {kind}")["v"]).alias("v")), hashlib.sha256(text.encode()).hexdigest()[:16])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -151,10 +153,10 @@ def encode_word(word: Column, ranks: Ranks) -> Column:
 
 
 def _place(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_MAPS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(long(WORD_MAPS - 1)).cast("int")
 
 
-def known_words(docs: DataFrame, ranks: Ranks, pattern: str, known: int) -> Column:
+def known_words(docs: DataFrame, ranks: Ranks, pattern: str, known: int, name: str) -> Column:
     """An array of maps from words to ids, of the corpus's most frequent words: at most ``known``, as few as equal counts leave.
 
     Counts fall into levels, 16 for each power of two; the words of the lowest levels that do not fit as a whole stay out.
@@ -171,7 +173,7 @@ def known_words(docs: DataFrame, ranks: Ranks, pattern: str, known: int) -> Colu
     maps = counts.filter(F.col("level") >= lowest).select(_place(F.col("word")).alias("at"), "word", encode_word(F.col("word"), ranks).alias("ids"))
     maps = maps.groupBy("at").agg(F.collect_list(F.struct("word", "ids")).alias("entries"))
     every = counts.sparkSession.range(WORD_MAPS).select(F.col("id").cast("int").alias("at")).join(maps, "at", "left")
-    return constant(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entries"))), lambda x: F.map_from_entries(x["entries"])).alias("words")))
+    return constant(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entries"))), lambda x: F.map_from_entries(x["entries"])).alias("words")), name)
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, known: int = KNOWN) -> DataFrame:
@@ -181,12 +183,15 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, known: int = KNOWN) -> D
     name; rows that repeat, null ids and empty tables are as any other. Java's classes of characters decide, which know
     Unicode 13 in Java 17: of a character assigned later the pattern takes no letter or digit.
     """
-    dictionary = known_words(docs, ranks, pattern, known)
+    name = uuid.uuid4().hex
+    dictionary = known_words(docs, ranks, pattern, known, name)
 
     def of(word: Column) -> Column:
         return F.coalesce(F.element_at(F.get(dictionary, _place(word)), word), encode_word(word, ranks))
 
-    return docs.withColumn("ids", F.flatten(F.transform(split_words(F.col("text"), pattern), of)))
+    found = docs.withColumn("ids", F.flatten(F.transform(split_words(F.col("text"), pattern), of)))
+    docs.sparkSession.sql(f"DROP TEMPORARY VARIABLE bpe_{name}")  # the plan has the words
+    return found
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
