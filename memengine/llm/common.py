@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,12 +41,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone: it does so once the driver's JVM has collected them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def placed(rows: DataFrame, *order, name: str) -> DataFrame:
     """The rows with their place, from 1, in a total order: ranges of the order are sorted apart, and each range starts
     behind the rows of those before it. The driver gets a count for each range."""
