@@ -116,11 +116,23 @@ def synced_index(spark, d) -> DataFrame:
     return index.term_statistics()
 
 
-def start_exclusions(spark, d) -> DataFrame:
-    """What later sessions leave out: ids shown at starts that succeeded, kept in the state of the events."""
-    events = _lifecycle(spark, d).withColumn("event", F.concat(F.lit("session-start:"), (F.col("n") % 2).cast("string")))
+def _starts(spark, d):
+    """Events of two policies, and what their starts have shown."""
+    events = _lifecycle(spark, d).withColumns({"event": F.concat(F.lit("session-start:"), (F.col("n") % 2).cast("string")), "policy": F.concat(F.lit("v"), (F.floor(F.col("n") / 2) % 2 + 1).cast("string"))})
     shown = events.groupBy(F.col("session_id").cast("string").alias("session_id"), "event", "policy").agg(F.transform(F.array_sort(F.collect_set("n")), lambda n: F.concat(F.lit("d"), n)).alias("ids"))
-    return lifecycle.session_start_exclusions(lifecycle.with_selected(lifecycle.replay(events), shown)).select("session_id", F.array_join("excluded", ",").alias("excluded"))
+    return lifecycle.replay(events), shown
+
+
+def start_exclusions(spark, d) -> DataFrame:
+    """What later sessions leave out under each policy: ids shown at starts that succeeded, kept in the state of the events."""
+    return lifecycle.session_start_exclusions(lifecycle.with_selected(*_starts(spark, d))).select("session_id", "policy", F.array_join("excluded", ",").alias("excluded"))
+
+
+def query_exclusions(spark, d) -> DataFrame:
+    """Queries in the midst of the events: each sees the starts of its session that had succeeded before it."""
+    e = v.table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("query_id"), F.col("user_id").alias("session_id"), F.col("event_id").alias("n"), F.array(F.lit("x")).alias("excluded"))
+    answers, shown = _starts(spark, d)
+    return lifecycle.exclude_shown(e, answers, shown, "v2", most=3).select("query_id", F.array_join("excluded", ",").alias("excluded"))
 
 
 def _noted(spark, d):
@@ -388,7 +400,7 @@ def event_lifecycle(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     messages_clean, session_rollup, transcripts_rendered, transcript_truncated, ingest_changes, session_upsert, source_counters, session_identity, legacy_backfill, backfill_distilled, stable_ids, doc_sync_plan, doc_sync_report,
-    doc_sync_applied, synced_index, start_exclusions, distilled_documents, transcript_documents, status_counters, distill_pending, distill_estimate, distill_prompts, completion_validate, completion_load, suggestions_validate, suggestions_load, decisions_validate, decisions_load, findings, findings_usage, consolidate_batch, batch_fit, ledger_seed,
+    doc_sync_applied, synced_index, start_exclusions, query_exclusions, distilled_documents, transcript_documents, status_counters, distill_pending, distill_estimate, distill_prompts, completion_validate, completion_load, suggestions_validate, suggestions_load, decisions_validate, decisions_load, findings, findings_usage, consolidate_batch, batch_fit, ledger_seed,
     memory_blob, removal_gate, suggestion_binding, suggestion_previews, suggestion_conflicts, decision_check, curate_apply, curate_next_memory, review_prompts, index_merge, index_prune, eval_metrics, threshold_sweep, calibrate,
     message_search, session_summaries, chat_bundles, event_lifecycle,
 )}
@@ -425,14 +437,14 @@ places AS (SELECT g, r.query_id, (SELECT min(t) FROM steps s WHERE s.query_id =
 sweep AS (SELECT g AS threshold, round(avg(coalesce(1 / best, 0)), 9) AS mrr, round(avg(CASE WHEN best <= 3 THEN 1 ELSE 0 END), 9) AS hit_3 FROM places LEFT JOIN slots ON slots.query_id = places.query_id AND slots.t = places.t GROUP BY 1)"""
 
 _EVENTS = """WITH RECURSIVE r AS (
-        SELECT CAST(user_id AS VARCHAR) AS session_id, event_id % 2 AS part, event_id AS n, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'claim' END AS action, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS k FROM events),
+        SELECT CAST(user_id AS VARCHAR) AS session_id, event_id % 4 AS part, event_id AS n, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'claim' END AS action, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS k FROM events),
       f AS (
         SELECT session_id, part, n, k, CASE WHEN action = 'claim' THEN 'running' ELSE 'none' END AS status, CASE WHEN action = 'claim' THEN 1 ELSE 0 END AS attempts, tm AS started FROM r WHERE k = 1
         UNION ALL
         SELECT session_id, part, n, k, CASE WHEN NOT ok THEN status WHEN action = 'claim' THEN 'running' WHEN action = 'succeed' THEN 'succeeded' ELSE 'failed' END, CASE WHEN ok AND action = 'claim' THEN attempts + 1 ELSE attempts END, CASE WHEN ok AND action = 'claim' THEN tm ELSE started END
         FROM (SELECT r.session_id, r.part, r.n, r.action, r.k, r.tm, f.status, f.attempts, f.started, CASE WHEN r.action = 'claim' THEN f.status = 'none' OR (f.status = 'running' AND r.tm - f.started >= 10) OR (f.status = 'failed' AND f.attempts < 2) ELSE f.status = 'running' END AS ok FROM f JOIN r ON r.session_id = f.session_id AND r.part = f.part AND r.k = f.k + 1)),
       ended AS (SELECT session_id, part FROM f GROUP BY 1, 2 HAVING arg_max(status, n) = 'succeeded'),
-      ids AS (SELECT r.session_id, 'd' || CAST(n AS VARCHAR) AS id FROM r JOIN ended USING (session_id, part) WHERE k <= 256)"""
+      ids AS (SELECT r.session_id, 'v' || CAST(part // 2 + 1 AS VARCHAR) AS policy, 'd' || CAST(n AS VARCHAR) AS id FROM r JOIN ended USING (session_id, part) WHERE k <= 256)"""
 
 ORACLE = {
     "messages_clean": "WITH " + v.MESSAGES + " SELECT * FROM messages",
@@ -450,7 +462,11 @@ ORACLE = {
     "doc_sync_plan": _PLAN + " SELECT * FROM plan WHERE action <> 'keep'",
     "doc_sync_report": _PLAN + " SELECT count(*) FILTER (action NOT IN ('delete', 'keep')) AS scanned, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action NOT IN ('delete', 'keep') AND source_kind = 'raw_transcript') AS raw FROM plan",
     "doc_sync_applied": _PLAN + " SELECT doc_id, content_sha256 FROM docs UNION ALL SELECT 'x' || doc_id, content_sha256 FROM docs WHERE CAST(doc_id[2:] AS BIGINT) % 10 = 3 AND source_kind = 'raw_transcript'",
-    "start_exclusions": _EVENTS + " SELECT session_id, string_agg(id, ',' ORDER BY id) AS excluded FROM ids GROUP BY 1",
+    "start_exclusions": _EVENTS + " SELECT session_id, policy, string_agg(id, ',' ORDER BY id) AS excluded FROM ids GROUP BY 1, 2",
+    "query_exclusions": _EVENTS + """, q AS (SELECT event_id AS query_id, CAST(user_id AS VARCHAR) AS session_id FROM events WHERE event_id % 3 = 0),
+      seen AS (SELECT query_id, f.session_id, part FROM q JOIN f ON f.session_id = q.session_id AND f.n < query_id AND part >= 2 GROUP BY ALL HAVING arg_max(status, n) = 'succeeded'),
+      shown AS (SELECT DISTINCT query_id, 'd' || CAST(n AS VARCHAR) AS id FROM seen JOIN r USING (session_id, part) WHERE k <= 3)
+      SELECT query_id, 'x' || coalesce(',' || string_agg(id, ',' ORDER BY id), '') AS excluded FROM q LEFT JOIN shown USING (query_id) GROUP BY 1""",
     "synced_index": "WITH " + v.DOCS + r""", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM docs)
       SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1""",
     "distilled_documents": _D + """, n AS (SELECT *, CAST(session_id AS VARCHAR) AS s, session_id % 6 AS m FROM distilled),

@@ -193,6 +193,15 @@ QUERIES = {f.__name__: f for f in (
 
 _SELECT = _ALL + " SELECT query_id, CAST(slot AS INTEGER) AS slot, doc_id FROM chosen"
 _RANKS = " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM "
+_LEFT = "(4000 - length(acc.t) - CASE WHEN acc.n > 0 THEN 2 ELSE 0 END - length(x.h))"
+_PACK = f"list_reduce(list_prepend('', x.p), lambda a, s: CASE WHEN length(a) + length(s) + CASE WHEN a = '' THEN 0 ELSE 1 END > {_LEFT} THEN a WHEN a = '' THEN s ELSE a || ' ' || s END)"
+_BODY = f"CASE WHEN {_LEFT} <= 0 THEN '' WHEN length(x.t) <= {_LEFT} THEN x.t WHEN {_PACK} <> '' THEN {_PACK} ELSE regexp_replace(left(x.t, {_LEFT}), '\\s+$', '') END"
+_RENDER = rf""", blocks AS (SELECT query_id, slot, '{render.MARKER}' || chr(10) || '[source: ' || c.doc_id || '; kind: ' || c.source_kind || '; trust: ' || c.trust_level || '; project: ' || c.project_slug || ']' || chr(10) AS h,
+  regexp_replace(scrubbed, '^\s+|\s+$', '', 'g') AS t FROM chosen c JOIN docs USING (doc_id)),
+parted AS (SELECT query_id, list({{'h': h, 't': t, 'p': list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 'n': 0}} ORDER BY slot) AS bs FROM blocks GROUP BY 1),
+made AS (SELECT query_id, list_reduce(list_prepend({{'h': '', 't': '', 'p': CAST([] AS VARCHAR[]), 'n': 0}}, bs), lambda acc, x: CASE WHEN {_BODY} = '' THEN acc ELSE {{'h': '', 't': acc.t || CASE WHEN acc.n > 0 THEN chr(10) || chr(10) ELSE '' END || x.h || {_BODY}, 'p': CAST([] AS VARCHAR[]), 'n': acc.n + 1}} END) AS m FROM parted)
+SELECT query_id, coalesce(m.t, '') AS context, CAST(coalesce(m.n, 0) AS BIGINT) AS n_blocks, CAST(length(coalesce(m.t, '')) AS BIGINT) AS codepoints FROM q LEFT JOIN made USING (query_id)"""
+
 _RESCORED = """
 , vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 paired AS (
@@ -225,6 +234,7 @@ ORACLE = {
     "rrf_fuse": _ALL + " SELECT query_id, CAST(position AS INTEGER) AS position, doc_id, score, CAST(best AS INTEGER) AS best FROM cand",
     "select_candidates": _SELECT,
     "select_by_fold": _SELECT,
+    "render_context": _ALL + _RENDER,
     "embed_rescore": _ALL + _RESCORED.format(
         new="greatest(0, list_cosine_similarity(a.v, b.v))", known="a.v IS NOT NULL AND b.v IS NOT NULL", joins="LEFT JOIN vec a ON a.vec_id = c.query_id + 100 LEFT JOIN vec b ON b.vec_id = CAST(c.doc_id[2:] AS BIGINT)", top=5, also="", mode="lexical_plus_embedder"),
     "rerank_rescore": _ALL + _RESCORED.format(new="1 / (1 + length(scrubbed))", known="true", joins="JOIN docs USING (doc_id)", top=100, also="OR bool_or(query_id % 4 = 0)", mode="lexical_plus_reranker"),

@@ -63,3 +63,13 @@ def test_events_keep_what_they_showed(spark):
     state = lifecycle.with_selected(answers, shown)
     assert {(r.event, r.status, r.selected_ids_json is None) for r in state.collect()} == {("session-start:a", "succeeded", False), ("session-start:b", "failed", True), ("prompt", "succeeded", False)}
     assert {r.session_id: r.excluded for r in lifecycle.session_start_exclusions(state).collect()} == {"s": [f"d{i:03d}" for i in range(256)]}
+
+
+def test_a_query_sees_the_starts_before_it(spark):
+    asked = [("s", "session-start:a", "v1", 10, "claim"), ("s", "session-start:a", "v1", 20, "succeed"), ("s", "session-start:b", "v1", 22, "claim"), ("s", "session-start:b", "v1", 24, "fail"), ("s", "session-start:b", "v1", 26, "claim"), ("s", "session-start:b", "v1", 40, "succeed"), ("s", "session-start:a", "v2", 11, "claim"), ("s", "session-start:a", "v2", 12, "succeed"), ("s", "prompt", "v1", 13, "claim"), ("s", "prompt", "v1", 14, "succeed")]
+    answers = lifecycle.replay(spark.createDataFrame([(*r, float(r[3]), None) for r in asked], "session_id string, event string, policy string, n long, action string, at double, token double"))
+    shown = spark.createDataFrame([("s", "session-start:a", "v1", ["a1", "a2", "a3"]), ("s", "session-start:b", "v1", ["b1", "a1"]), ("s", "session-start:a", "v2", ["other"]), ("s", "prompt", "v1", ["p"])], "session_id string, event string, policy string, ids array<string>")
+    queries = spark.createDataFrame([(1, "s", 15, ["x"]), (2, "s", 20, None), (3, "s", 21, ["x", "a2"]), (4, "s", 30, []), (5, "s", 41, ["x"]), (6, "t", 99, None), (7, "s", None, ["x"])], "query_id int, session_id string, n long, excluded array<string>")
+    got = {r.query_id: r.excluded for r in lifecycle.exclude_shown(queries, answers, shown, "v1", most=2).collect()}
+    assert got == {1: ["x"], 2: [], 3: ["x", "a2", "a1"], 4: ["a1", "a2"], 5: ["x", "a1", "a2", "b1"], 6: [], 7: ["x"]}
+    assert {r.query_id: r.excluded for r in lifecycle.exclude_shown(queries.drop("excluded"), answers, shown, "v2").collect()}[1] == ["other"]

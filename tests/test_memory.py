@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -83,10 +84,25 @@ def test_policy_fold_and_window(spark):
     assert a == b
 
 
-def test_excerpt():
+def slow_excerpt(text, most, words=()):
+    """Sentence by sentence, each tried at the end of what is there."""
+    text = (text or "").strip()
+    found = [x.strip() for line in text.split("\n") for x in re.findall(r".+?(?:[.!?](?=\s)|$)", line) if x.strip()]
+    out = []
+    for wanted in (True, False):
+        for x in found:
+            if any(w in x.lower() for w in words) == wanted and len(" ".join([*out, x])) <= most:
+                out.append(x)
+    return "" if most <= 0 else text if len(text) <= most else " ".join(out) or text[:most].rstrip()
+
+
+def test_excerpt(spark):
     text = "First part here. Second has a needle! Third one?\nFourth line"
-    assert render.excerpt(text, "", 1000) == text and render.excerpt(text, "", 0) == ""
-    assert render.excerpt(text, "NEEDLE", 22) == "Second has a needle!" and render.excerpt(text, "", 30) == "First part here. Third one?" and render.excerpt("abcdefgh", "", 3) == "abc"
+    cases = [(text, 1000, ""), (text, 0, ""), (text, -5, ""), (text, 22, "needle"), (text, 30, ""), (text, 30, "fourth third"), ("abcdefgh", 3, ""), ("ab cdefgh", 3, "x"), (None, 5, ""), (" \n\u2003\x1c", 9, "a"), ("\u2003A.  B!\n\nC. " * 9, 20, "c"), ("Strass. Straße!", 9, "strasse"), ("é" * 50 + ". x", 7, "")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, most int, query string")
+    got = [tuple(r)[1:] for r in rows.select("i", render.excerpt(F.col("text"), F.col("most"), F.col("query")), render.excerpt(F.col("text"), F.col("most"))).orderBy("i").collect()]
+    assert got == [(slow_excerpt(t, most, q.split()) if "ß" not in (t or "") else "Straße!", slow_excerpt(t, most)) for t, most, q in cases]
+    assert got[3][0] == "Second has a needle!" and got[4][0] == "First part here. Third one?" and got[6][0] == "abc"
 
 
 def test_context_stays_in_budget(spark):
@@ -249,8 +265,9 @@ def test_lifecycle(spark, tmp_path):
 
 
 def test_session_start_exclusions(spark):
-    events = spark.createDataFrame([("s", "session-start:a", "succeeded", '["x","y"]'), ("s", "session-start:b", "succeeded", '["y"]'), ("s", "prompt", "succeeded", '["z"]'), ("t", "session-start:a", "failed", '["w"]'), ("t", "session-start:b", "succeeded", "oops")], "session_id string, event string, status string, selected_ids_json string")
-    assert [(r.session_id, r.excluded) for r in lifecycle.session_start_exclusions(events).collect()] == [("s", ["x", "y"])]
+    rows = [("s", "session-start:a", "v1", "succeeded", '["x","y"]'), ("s", "session-start:b", "v1", "succeeded", '["y"]'), ("s", "session-start:b", "v2", "succeeded", '["q"]'), ("s", "prompt", "v1", "succeeded", '["z"]'), ("t", "session-start:a", "v1", "failed", '["w"]'), ("t", "session-start:b", "v1", "succeeded", "oops")]
+    events = spark.createDataFrame(rows, "session_id string, event string, policy string, status string, selected_ids_json string")
+    assert {(r.session_id, r.policy, tuple(r.excluded)) for r in lifecycle.session_start_exclusions(events).collect()} == {("s", "v1", ("x", "y")), ("s", "v2", ("q",))}
 
 
 def test_public_fixtures_do_not_calibrate(spark):
@@ -335,8 +352,14 @@ def test_only_rows_that_can_fit_are_rendered(spark):
     chosen = spark.createDataFrame(rows, "query_id long, doc_id string, source_kind string, trust_level string, project_slug string, scrubbed string, slot int")
     queries = spark.createDataFrame([(1, 4000), (2, 700), (3, 40), (4, 4000)], "query_id long, budget int")
     pairs = chosen.join(queries, "query_id")
-    all_rows, fold = pairs.toPandas(), render._context(render.MARKER)
-    want = {q: tuple(fold(g).iloc[0][["context", "n_blocks", "codepoints"]]) for q, g in all_rows.groupby("query_id")}
+    want = {}
+    for q, budget in ((1, 4000), (2, 700), (3, 40)):
+        blocks = []
+        for _, d, kind, trust, project, text, _ in sorted((r for r in rows if r[0] == q), key=lambda r: r[6]):
+            header = f"{render.MARKER}\n[source: {d}; kind: {kind}; trust: {trust}; project: {project or 'global'}]\n"
+            body = slow_excerpt(text, budget - len("\n\n".join([*blocks, header])))
+            blocks += [header + body] if body else []
+        want[q] = "\n\n".join(blocks), len(blocks), len("\n\n".join(blocks))
     got = {r.query_id: (r.context, r.n_blocks, r.codepoints) for r in render.render_context(chosen, queries).collect()}
     assert got == want | {4: ("", 0, 0)} and got[1][1] > 3
     held = render.may_fit(pairs)
