@@ -398,11 +398,17 @@ def event_lifecycle(spark, d) -> DataFrame:
     return lifecycle.replay(_lifecycle(spark, d))
 
 
+def latency_stats(spark, d) -> DataFrame:
+    """Mean, median and 95th percentile of the events' values."""
+    row = evaluate.latency(v.table(spark, d, "events").select(F.col("value").alias("ms")))
+    return row.select(F.round("mean", 6).alias("mean"), "p50", "p95")
+
+
 QUERIES = {f.__name__: f for f in (
     messages_clean, session_rollup, transcripts_rendered, transcript_truncated, ingest_changes, session_upsert, source_counters, session_identity, legacy_backfill, backfill_distilled, stable_ids, doc_sync_plan, doc_sync_report,
     doc_sync_applied, synced_index, start_exclusions, query_exclusions, distilled_documents, transcript_documents, status_counters, distill_pending, distill_estimate, distill_prompts, completion_validate, completion_load, suggestions_validate, suggestions_load, decisions_validate, decisions_load, findings, findings_usage, consolidate_batch, batch_fit, ledger_seed,
     memory_blob, removal_gate, suggestion_binding, suggestion_previews, suggestion_conflicts, decision_check, curate_apply, curate_next_memory, review_prompts, index_merge, index_prune, eval_metrics, threshold_sweep, calibrate,
-    message_search, session_summaries, chat_bundles, event_lifecycle,
+    message_search, session_summaries, chat_bundles, event_lifecycle, latency_stats,
 )}
 
 _S, _D, _G = "WITH " + v.SESSIONS, "WITH " + v.DISTILLED, "WITH " + v.MEMORY + "," + v.SUGGESTIONS
@@ -447,6 +453,7 @@ _EVENTS = """WITH RECURSIVE r AS (
       ids AS (SELECT r.session_id, 'v' || CAST(part // 2 + 1 AS VARCHAR) AS policy, 'd' || CAST(n AS VARCHAR) AS id FROM r JOIN ended USING (session_id, part) WHERE k <= 256)"""
 
 ORACLE = {
+    "latency_stats": "SELECT round(avg(value), 6) AS mean, median(value) AS p50, (list(value ORDER BY value))[greatest(1, CAST(floor(count(value) * 0.95) AS INTEGER))] AS p95 FROM events WHERE value IS NOT NULL",
     "messages_clean": "WITH " + v.MESSAGES + " SELECT * FROM messages",
     "session_rollup": _S + " SELECT * FROM sessions",
     "transcripts_rendered": "WITH " + v.MESSAGES + _RENDERED + " SELECT session_id, sha256(t) AS sha256, CAST(length(t) AS INTEGER) AS n_chars FROM rendered",
