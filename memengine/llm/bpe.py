@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from memengine.llm.common import cut, table
 RANK_MAPS, WORD_MAPS = 65_537, 1 << 17
 #: Words that are folded once for all, and the bytes of the longest of them: at most so many are sent to tasks.
 KNOWN, KNOWN_BYTES = 1 << 19, 64
+#: White space of all scripts, as it stands inside brackets: Java's own class knows that of ASCII.
+BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words of more bytes are folded by replacing all pairs of the least rank at once.
 LONG = 200
 #: Ids are below SHIFT, whose last is an end mark; the rank of a pair that makes no token.
@@ -92,8 +95,10 @@ def load(spark: SparkSession, ranks: dict[bytes, int]) -> Ranks:
 
 
 def split_words(text: Column, pattern: str) -> Column:
-    """All matches of the pattern, in order, with Unicode's classes; a null text has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+    """All matches of the pattern, in order; a null text has none. White space is Unicode's, written out where a class has it."""
+    parts = re.split(r"(\[[^]]*\])", pattern)
+    wide = "".join(p.replace(r"\s", BLANK) if p.startswith("[") else p.replace(r"\s", f"[{BLANK}]").replace(r"\S", f"[^{BLANK}]") for p in parts)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(wide), F.lit(0))
 
 
 def _bytes(word: Column, ranks: Ranks) -> Column:
@@ -110,7 +115,7 @@ def _one_by_one(word: Column, ranks: Ranks) -> Column:
     def merge(e: Column, m: Column, p: Column) -> Column:
         made = F.shiftright(m, BITS)
         before = let(F.get(e, p - 2).bitwiseAND(long(SHIFT - 1)), lambda x: packed(ranks.merged(x, made), x))
-        behind = let(F.get(e, p + 1).bitwiseAND(long(SHIFT - 1)), lambda x: packed(ranks.merged(made, x), made))
+        behind = packed(ranks.merged(made, F.get(e, p + 1).bitwiseAND(long(SHIFT - 1))), made)
         return F.concat(F.slice(e, F.lit(1), p - 2), F.array(before, behind), F.slice(e, p + 2, F.size(e)))
 
     def step(e: Column, _: Column) -> Column:
@@ -195,8 +200,8 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, known: int = KNOWN) -> D
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
-    """The bytes of all ids' pieces, one after the other; they need not be whole characters. An id without a piece is an error."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(ranks.pieces, i + 1)), ""), "ISO-8859-1")
+    """The bytes of all ids' pieces, one after the other; they need not be whole characters. An id without a piece has no bytes."""
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(ranks.pieces, i)), ""), "ISO-8859-1")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
