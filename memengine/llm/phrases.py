@@ -28,7 +28,7 @@ SHARE = 80
 #: Times as many pairs of words as are wanted that the first threshold admits, and the growth of that from round to round.
 FIRST, MORE = 2, 8
 #: Words of one language that a task counts at once.
-HELD = 3_000_000
+HELD = 1_500_000
 SCALE = 1_000_000
 
 #: A-Z become a-z, the marks and line ends that end a piece a line feed, and a tab a blank.
@@ -124,7 +124,7 @@ def _some(docs: DataFrame, n: int, every: list, some: list) -> DataFrame:
         met: Counter = Counter()
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for a, b, data, at in chunks(batch.column("body"), 4 << 20):
+            for a, b, data, at in chunks(batch.column("body")):
                 data = LOWER_BYTES[data]
                 start, end, count = words(data, at, _WORD)
                 if len(start) < n:
@@ -141,7 +141,7 @@ def _some(docs: DataFrame, n: int, every: list, some: list) -> DataFrame:
                 ends = np.array([end[starts + i] for i in range(n)]).T.tolist()
                 begins = np.array([start[starts + i] for i in range(n)]).T.tolist()
                 met.update((langs[i], b" ".join([text[s:e] for s, e in zip(x, y, strict=True)])) for i, x, y in zip(of[starts].tolist(), begins, ends, strict=True))
-                if len(met) > HELD // 4:
+                if len(met) > HELD // 8:
                     yield _spelt([k[0] for k in met], pa.array([k[1] for k in met], pa.binary()), list(met.values()))
                     met.clear()
         yield _spelt([k[0] for k in met], pa.array([k[1] for k in met], pa.binary()), list(met.values()))
