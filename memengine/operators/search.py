@@ -15,12 +15,12 @@ def search_messages(queries: DataFrame, messages: DataFrame, sessions: DataFrame
     ``messages`` has doc_id beside its columns, as the index has it. A message must have all words. Role and project
     narrow the hits after scoring, before the cut at k, so they change no score.
     """
-    hits = match_all(query_units(queries, query_words(F.col("query_text")), stemmed), index)
     home = sessions.select("session_id", "project_slug", "cwd")
     allowed = messages.select("doc_id", "session_id") if role is None else messages.filter(F.col("role") == role).select("doc_id", "session_id")
     homes = home.select("session_id") if project is None else home.filter(F.col("project_slug") == project).select("session_id")
+    hits = match_all(query_units(queries, query_words(F.col("query_text")), stemmed), index, allowed.join(homes, "session_id", "left_semi"))
     # ids are ranked; texts join the k best
-    best = ranked(hits.join(allowed, "doc_id").join(homes, "session_id").drop("session_id"), k).join(messages, "doc_id").join(home, "session_id")
+    best = ranked(hits, k).join(messages, "doc_id").join(home, "session_id")
     terms = tokens(F.array_join(query_words(F.col("query_text")), " "))
     asked = queries.select("query_id", terms.alias("_terms"))
     joined = best.join(asked, "query_id")
