@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memengine.functions.text import index_target, json_body
 from memengine.operators.distill import validate
+from memengine.operators.shared import cut
 
 INDEX_FILE = "MEMORY.md"
 MOST_FIELD, MOST_PROMPT = 60_000, 240_000
@@ -177,7 +178,8 @@ def constant_decisions(snapshots: DataFrame, decision: str, reason: str = "bulk"
 
 def next_memory(memory: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(path, body, sha256) after the outcomes, the index without links to files that are gone."""
-    changed = outcomes.filter("last and written").select(F.col("target").alias("path"), "exists_after", F.col("body_after").alias("body"))
+    # the fold is read four times: its last states are kept, so that it runs once
+    changed = cut(outcomes.filter("last and written").select(F.col("target").alias("path"), "exists_after", F.col("body_after").alias("body")))
     rest = memory.select("path", "body").join(changed.select("path"), "path", "left_anti").unionByName(changed.filter("exists_after").select("path", "body"))
     rooted = rest.withColumn("root", F.lit(0))
     index = pruned_index(rooted.filter(F.col("path") == INDEX_FILE).select("root", "body"), rooted).select(F.lit(INDEX_FILE).alias("path"), "body")
