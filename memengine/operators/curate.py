@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memengine.functions.text import index_target, json_body
 from memengine.operators.distill import validate
-from memengine.operators.shared import cut
+from memengine.operators.shared import cut, fold_sorted
 
 INDEX_FILE = "MEMORY.md"
 MOST_FIELD, MOST_PROMPT = 60_000, 240_000
@@ -120,41 +120,41 @@ def pruned_index(index: DataFrame, memory: DataFrame) -> DataFrame:
     return kept.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l")).select("root", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
-def _apply(rows: pd.DataFrame) -> pd.DataFrame:
+def _apply(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
     """Fold of one target's decisions in order of id; the last row's state is the target's new one."""
-    rows = rows.sort_values("id")
-    first = rows.iloc[0]
-    text = lambda x: x if isinstance(x, str) else ""
-    body, there = text(first["live_body"]), bool(first["live_exists"])
-    same = body == text(first["current_body"]) and there == bool(first["exists_now"])
-    applied, out = False, []
-    for r in rows.itertuples():
-        wanted, reason = r.decision, None
+    text = lambda x: x or ""
+    said, applied, same, body, there = None, False, None, "", False
+    for r in rows:
+        if said:
+            yield *said, False
+        else:
+            body, there = text(r["live_body"]), r["live_exists"]
+            same = body == text(r["current_body"]) and there == bool(r["exists_now"])
+        wanted, reason = r["decision"], None
         if wanted == "reject":
             outcome = "rejected"
         elif wanted == "defer":
             outcome = "deferred"
-        elif wanted == "merge" and r.kind == "remove":
+        elif wanted == "merge" and r["kind"] == "remove":
             outcome, reason = "deferred", "merge of a removal"
-        elif not isinstance(r.target, str):
+        elif r["target"] is None:
             outcome, reason = "rejected", "unsafe target"
-        elif r.kind == "remove" and r.target == INDEX_FILE:
+        elif r["kind"] == "remove" and r["target"] == INDEX_FILE:
             outcome, reason = "rejected", "protected target"
         elif not same:
             outcome, reason = "deferred", "target changed during curation"
-        elif not applied and r.conflict and wanted == "accept":
+        elif not applied and r["conflict"] and wanted == "accept":
             outcome, reason = "deferred", "initial conflict"
         else:
-            proposal = text(r.body if wanted == "accept" else r.decision_body)
-            if r.kind == "remove":
+            proposal = text(r["body"] if wanted == "accept" else r["decision_body"])
+            if r["kind"] == "remove":
                 body, there = "", False
             else:
-                body, there = (merge_index(body, proposal) if r.kind == "index" else proposal), True
+                body, there = (merge_index(body, proposal) if r["kind"] == "index" else proposal), True
             outcome, applied = "accepted", True
-        out.append((r.id, r.target, outcome, reason, applied, there, body if there else None))
-    frame = pd.DataFrame(out, columns=["id", "target", "outcome", "reason", "written", "exists_after", "body_after"])
-    frame["last"] = frame["id"] == frame["id"].iloc[-1]
-    return frame
+        said = (r["id"], r["target"], outcome, reason, applied, there, body if there else None)
+    if said:
+        yield *said, True
 
 
 def apply_decisions(snapshots: DataFrame, decisions: DataFrame, memory: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def apply_decisions(snapshots: DataFrame, decisions: DataFrame, memory: DataFram
     rows = snapshots.join(decisions.select(F.col("suggestion_id").alias("id"), "decision", F.col("body").alias("decision_body")), "id").join(live, "target", "left")
     rows = rows.withColumns({"live_exists": F.coalesce("live_exists", F.lit(False)), "_group": F.coalesce("target", F.concat(F.lit("\0"), F.col("id").cast("string")))})
     used = rows.select("_group", "id", "kind", "target", "body", "decision", "decision_body", "current_body", "exists_now", "conflict", "live_body", "live_exists")
-    return used.groupBy("_group").applyInPandas(_apply, "id long, target string, outcome string, reason string, written boolean, exists_after boolean, body_after string, last boolean")
+    return fold_sorted(used, ["_group"], ["id"], _apply, "id long, target string, outcome string, reason string, written boolean, exists_after boolean, body_after string, last boolean")
 
 
 def constant_decisions(snapshots: DataFrame, decision: str, reason: str = "bulk") -> DataFrame:
