@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from memengine.functions import text as tx
 from memengine.operators import consolidate, curate, distill, documents, evaluate, ingest, search
 from memengine.operators import index as ix
+from memengine.operators.shared import cut
 from memengine.plans import recall_queries as rq
 from memengine.plans import views as v
 from memengine.streaming import chat, lifecycle
@@ -371,9 +372,9 @@ def calibrate(spark, d) -> DataFrame:
 
 def message_search(spark, d) -> DataFrame:
     """First three words of every twentieth message, searched in all messages by stems."""
-    m = v.messages(spark, d).withColumn("doc_id", F.concat_ws(":", "session_id", "seq"))
+    m = cut(v.messages(spark, d)).withColumn("doc_id", F.concat_ws(":", "session_id", "seq"))  # read by seven stages, numbered once
     asked = m.filter("(session_id * 31 + seq) % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ").alias("query_text"))
-    found = search.search_messages(asked, m, v.sessions(spark, d), ix.build_index(m, stemmed=True), k=5)
+    found = search.search_messages(asked, m, v.sessions(spark, d, m), ix.build_index(m, stemmed=True), k=5)
     return found.select("query_id", "rank", "doc_id", "role", "project_slug", "score", "snippet")
 
 
