@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, hash_filter, mix, passes, span_hash, table, words
+from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, hash_filter, mix, passes, span_hash, table, without, words
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 13
@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. A row without an id stays."""
     bad = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

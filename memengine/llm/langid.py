@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import mix, table, worker_state
+from memengine.llm.common import mix, table, without, worker_state
 
 #: n-grams of 1 to SPECTRUM characters, hashed into 2**PLACES places; the kernel counts the places that two texts share.
 SPECTRUM, PLACES = 3, 14
@@ -140,7 +140,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     model = learn(docs)
     found = identify(docs, model) if model else docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.lit(1.0).alias("score"))
     bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, lookup, span_hash, table, words, worker_state
+from memengine.llm.common import LOWER_BYTES, as_bytes, chunks, cut, lookup, span_hash, table, without, words, worker_state
 from memengine.llm.components import connected_components
 from memengine.llm.hamming import hamming_links
 from memengine.llm.lines import BUCKET, STRICT, Lines, block_keys, bucket_links
@@ -206,7 +206,7 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents that no near copy with a smaller id has, with all their columns. A row without an id stays."""
     gone = similar_documents(docs, **how).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
