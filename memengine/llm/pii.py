@@ -5,7 +5,8 @@ Spans of the four base formats are always redacted. Wide generators also propose
 learn from the corpus: base spans and rewritten forms of them are right; candidates and rewritten forms that break a
 rule of their format (check digit, range, number of digits) are wrong. What the corpus has of candidates that keep the
 rules and have no base format is not known to be either, and teaches nothing. Thresholds are set on ways of rewriting
-that the trees have not seen, in documents that they have not seen.
+that the trees have not seen, in documents that they have not seen. All
+documents are learnt from: tasks bin their examples and sum up gradients, and the driver gets a sum for each bin.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm.common import table
+from memengine.llm.common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and candidates to learn from at most; a kind's threshold is the least with this precision on a held-out quarter.
-SAMPLE, CANDIDATES, PRECISION = 3000, 20_000, 0.995
-TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 16
+#: A kind's threshold is the least with this precision on a held-out quarter; scores count in so many levels there.
+PRECISION, LEVELS = 0.995, 10_000
+TREES, DEPTH, RATE, BINS, LEAST_ROWS = 30, 3, 0.3, 16, 20
+#: Gradients add up as whole multiples of 1 / UNIT, so that no sum hangs on its order.
+UNIT = 1 << 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -196,7 +199,7 @@ class Boosted:
     base: float
     trees: list
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
         for tree in self.trees:
             todo = [(tree, np.arange(len(x)))]
@@ -207,33 +210,81 @@ class Boosted:
                 else:
                     high = x[rows, node[0]] > node[1]
                     todo += [(node[3], rows[high]), (node[2], rows[~high])]
-        return 1 / (1 + np.exp(-out))
+        return out
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.odds(x)))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
 
+def _sums(train: DataFrame, model: Boosted, tree, width: int) -> dict[float, np.ndarray]:
+    """For each leaf of ``tree``, whose leaves are numbers of their own: (column, bin, [gradient, curvature, rows]) over all examples."""
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Boosted:
-    mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[float, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, n = _codes(batch.column("code")), batch.column("n").to_numpy()
+            p, leaf = model(x), Boosted(0.0, [tree]).odds(x)
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            values = [np.rint((y - p) * UNIT).astype(np.int64) * n, np.rint(p * (1 - p) * UNIT).astype(np.int64) * n, n]
+            for v in np.unique(leaf).tolist():
+                own = np.flatnonzero(leaf == v)
+                into = made.setdefault(v, np.zeros((width, BINS + 1, 3), np.int64))
+                for j in range(width):
+                    for i, value in enumerate(values):
+                        np.add.at(into[j, :, i], x[own, j], value[own])
+        for v, sums in made.items():
+            j, b = np.nonzero(sums[:, :, 2])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), v)), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(sums[j, b, i]) for i in range(3))], names=["leaf", "j", "b", "g", "h", "n"])
+
+    rows = train.select("code", "y", "n").mapInArrow(run, "leaf double, j int, b int, g long, h long, n long").groupBy("leaf", "j", "b").agg(*(F.sum(c).alias(c) for c in "ghn"))
+    out: dict[float, np.ndarray] = {}
+    for r in rows.toPandas().itertuples():  # leaves x columns x bins
+        out.setdefault(r.leaf, np.zeros((width, BINS + 1, 3)))[r.j, r.b] = r.g / UNIT, r.h / UNIT, r.n
+    return out
+
+
+def boost(train: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Boosted:
+    """Trees over bins of ``train(code, y, n)``: examples with their bins as bytes, whether they are right, and how many there are."""
+    ones, n = train.agg(F.sum(F.col("n") * F.col("y").cast("long")), F.sum("n")).first()
+    mean = float(np.clip(ones / n, 1e-3, 1 - 1e-3))
     model = Boosted(float(np.log(mean / (1 - mean))), [])
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[:-1])) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
-
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        total, weight = g[rows].sum(), h[rows].sum() + 1
-        best = (1e-6, 0, 0)
-        for j in range(x.shape[1]) if left and len(rows) >= 20 else ():
-            size = len(cuts[j]) + 1
-            gs, hs = (np.cumsum(np.bincount(binned[rows, j], v[rows], minlength=size))[:-1] for v in (g, h))
-            gain = gs**2 / (hs + 1) + (total - gs) ** 2 / (weight - hs) - total**2 / weight
-            if len(gain) and gain.max() > best[0]:
-                best = (gain.max(), j, int(gain.argmax()))
-        if best[0] <= 1e-6:
-            return float(rate * total / weight)
-        _, j, k = best
-        high = binned[rows, j] > k
-        return (j, float(cuts[j][k]), grow(rows[~high], g, h, left - 1), grow(rows[high], g, h, left - 1))
+
+    def value(total: np.ndarray) -> float:
+        return float(rate * total[0] / (total[1] + 1))
+
+    def split(sums: np.ndarray):
+        """(column, bin, sums below, sums above) of the best cut of a leaf, or None."""
+        total = sums[0].sum(0)
+        low = np.cumsum(sums, axis=1)[:, :-1]
+        high = total - low
+        gain = low[..., 0] ** 2 / (low[..., 1] + 1) + high[..., 0] ** 2 / (high[..., 1] + 1) - total[0] ** 2 / (total[1] + 1)
+        j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+        return (int(j), int(k), low[j, k], high[j, k]) if total[2] >= LEAST_ROWS and gain[j, k] > 1e-6 else None
 
     for _ in range(trees):
-        p = model(x)
-        model.trees.append(grow(np.arange(len(x)), y - p, p * (1 - p), depth))
+        cuts, ends, open_leaves = {}, {}, [1]  # the leaves below leaf i are 2i and 2i + 1
+        made = lambda at, leaf: (*cuts[at], made(2 * at, leaf), made(2 * at + 1, leaf)) if at in cuts else leaf(at)
+        for _ in range(depth):
+            if not open_leaves:
+                break
+            sums = _sums(train, model, made(1, float), width)
+            below = []
+            for at in open_leaves:
+                best = split(sums[at]) if at in sums else None
+                if best:
+                    cuts[at] = best[:2]
+                    ends[2 * at], ends[2 * at + 1] = value(best[2]), value(best[3])
+                    below += [2 * at, 2 * at + 1]
+                elif at in sums:
+                    ends[at] = value(sums[at][0].sum(0))
+            open_leaves = below
+        model.trees.append(made(1, lambda at: ends.get(at, 0.0)))
     return model
 
 
@@ -274,38 +325,62 @@ def examples(text: str) -> list[tuple[list[float], bool, bool]]:
     return out
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, limit: int = CANDIDATES) -> Detector:
-    """Fit on candidates from at most ``sample`` documents with a digit or an at sign, chosen by a hash of the id."""
+def learn(docs: DataFrame) -> Detector:
+    """Fit on the candidates of every document with a digit or an at sign and an id.
+
+    Bins are ranges between quantiles of each feature, counted in values of three digits. Documents whose id leaves 3 when divided
+    by 4, and ways of rewriting that the trees do not see, set the thresholds. What the driver gets has a fixed size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in examples(t)]
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "x", "y", "kept"])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = examples(t)
+                kinds = (pa.list_(pa.float64()), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([d % 4 == 3] * len(rows), pa.bool_()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["other", "x", "y", "kept"])
 
     likely = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
-    ids = likely.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct().withColumnRenamed("doc_id", "id")
-    found = likely.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>, y boolean, kept boolean")
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x", "y").limit(limit).toPandas()
-    if got.empty or got["y"].nunique() < 2:
+    found = likely.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "other boolean, x array<double>, y boolean, kept boolean")
+    found = cut(found.groupBy("other", "x", "y", "kept").agg(F.count("*").alias("n")))
+    seen = found.filter("not kept and not other")
+    # three digits of each value: a number of levels that does not follow the corpus
+    power = F.pow(F.lit(10.0), F.floor(F.log10("v")) - 2)
+    level = F.when(F.col("v") > 0, F.round(F.floor(F.col("v") / power) * power, 12)).otherwise(F.lit(0.0))
+    counts = seen.select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", level.alias("v")).agg(F.sum("n").alias("n")).toPandas().sort_values(["j", "v"])
+    if counts.empty or found.select("y").distinct().count() < 2:
         return Detector(None, {})
-    # documents and ways of rewriting that the trees see, and those that the thresholds are set on
-    x, y, kept, other = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["kept"].to_numpy(bool), got["doc_id"].to_numpy() % 4 == 3
-    if not (~kept & ~other).any():
-        return Detector(None, {})
-    model, held = boost(x[~kept & ~other], y[~kept & ~other]), kept & other
+    cuts = []
+    for _, own in counts.groupby("j"):
+        upto = np.cumsum(own["n"].to_numpy())
+        cuts.append(np.unique(own["v"].to_numpy()[np.searchsorted(upto, np.linspace(0, 1, BINS + 1)[:-1] * upto[-1], side="right")]))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+            code = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), *(batch.column(c) for c in ("y", "n"))], names=["kind", "code", "y", "n"])
+
+    def codes(rows: DataFrame) -> DataFrame:
+        coded = rows.select("x", "y", "n").mapInArrow(binned, "kind int, code binary, y boolean, n long")
+        return cut(coded.groupBy("kind", "code", "y").agg(F.sum("n").alias("n")))
+
+    grown = boost(codes(seen), len(cuts))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = grown(_codes(batch.column("code"))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(np.rint(p * LEVELS).astype(np.int32)), batch.column("y"), batch.column("n")], names=["kind", "level", "y", "n"])
+
+    held = codes(found.filter("kept and other")).mapInArrow(scored, "kind int, level int, y boolean, n long")
+    rows = held.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y"), F.col("n")).otherwise(0)).alias("right")).toPandas()
     thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = held & (x[:, 0] == k)
-        if not own.any():
-            continue
-        p, right = model(x[own]), y[own]
-        order = np.argsort(-p, kind="stable")
-        p, good = p[order], np.cumsum(right[order]) / np.arange(1, own.sum() + 1)
-        fine = np.flatnonzero((good >= PRECISION) & np.append(p[1:] < p[:-1], True))
+    for k, own in rows.sort_values("level", ascending=False).groupby("kind"):
+        p, good = own["level"].to_numpy() / LEVELS, own["right"].cumsum().to_numpy() / own["n"].cumsum().to_numpy()
+        fine = np.flatnonzero(good >= PRECISION)
         if len(fine):
-            thresholds[kind] = max(0.5, float(p[fine[-1]] + np.append(p, 0)[fine[-1] + 1]) / 2)  # halfway to the next score
-    return Detector(model, thresholds)
+            thresholds[KINDS[k]] = max(0.5, float(p[fine[-1]] + np.append(p, 0)[fine[-1] + 1]) / 2)  # halfway to the next score
+    named = lambda node: node if isinstance(node, float) else (node[0], float(cuts[node[0]][node[1]]) if node[1] < len(cuts[node[0]]) else np.inf, named(node[2]), named(node[3]))
+    return Detector(Boosted(grown.base, [named(t) for t in grown.trees]), thresholds)
 
 
 def detect(docs: DataFrame, detector: Detector) -> DataFrame:
