@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: A kind's threshold is the least with this precision on a held-out quarter; scores count in so many levels there.
 PRECISION, LEVELS = 0.995, 10_000
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 30, 3, 0.3, 16, 20
+#: Examples that a task sums up for a tree: there are 90 jobs, so tasks follow the examples and not the partitions that they came in.
+EXAMPLES = 50_000
 #: Gradients add up as whole multiples of 1 / UNIT, so that no sum hangs on its order.
 UNIT = 1 << 24
 
@@ -249,6 +251,11 @@ def _sums(train: DataFrame, model: Boosted, tree, width: int) -> dict[float, np.
     return out
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in as few partitions as their number asks for; a single one is summed up without a shuffle."""
+    return cut(rows.coalesce(max(1, -(-rows.count() // EXAMPLES))))
+
+
 def boost(train: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Boosted:
     """Trees over bins of ``train(code, y, n)``: examples with their bins as bytes, whether they are right, and how many there are."""
     ones, n = train.agg(F.sum(F.col("n") * F.col("y").cast("long")), F.sum("n")).first()
@@ -341,7 +348,7 @@ def learn(docs: DataFrame) -> Detector:
 
     likely = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
     found = likely.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "other boolean, x array<double>, y boolean, kept boolean")
-    found = cut(found.groupBy("other", "x", "y", "kept").agg(F.count("*").alias("n")))
+    found = dealt(cut(found.groupBy("other", "x", "y", "kept").agg(F.count("*").alias("n"))))
     seen = found.filter("not kept and not other")
     # three digits of each value: a number of levels that does not follow the corpus
     power = F.pow(F.lit(10.0), F.floor(F.log10("v")) - 2)
@@ -362,7 +369,7 @@ def learn(docs: DataFrame) -> Detector:
 
     def codes(rows: DataFrame) -> DataFrame:
         coded = rows.select("x", "y", "n").mapInArrow(binned, "kind int, code binary, y boolean, n long")
-        return cut(coded.groupBy("kind", "code", "y").agg(F.sum("n").alias("n")))
+        return dealt(cut(coded.groupBy("kind", "code", "y").agg(F.sum("n").alias("n"))))
 
     grown = boost(codes(seen), len(cuts))
 

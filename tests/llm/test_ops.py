@@ -479,3 +479,23 @@ def test_personal_data_is_learnt_from_every_document(spark, monkeypatch):
     one, other = pii.learn(docs.repartition(1)), pii.learn(docs.repartition(7))
     want = sum(not kept for r in docs.filter("text rlike '[0-9@]' and doc_id % 4 <> 3").collect() for _, _, kept in pii.examples(r.text))
     assert asked == [want, want] and one == other and one.model.trees
+
+
+def test_training_tasks_of_personal_data_follow_the_examples(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(pii, "boost", lambda train, width, f=pii.boost, **how: parts.append(train.rdd.getNumPartitions()) or f(train, width, trees=2))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few = pii.learn(docs.repartition(9))
+        assert parts == [1]  # 23 before, for every tree and level of it
+        monkeypatch.setattr(pii, "EXAMPLES", 50)
+        many = pii.learn(docs.repartition(9))
+        assert parts[1] > 1 and few == many
+        rows = pii.dealt(spark.range(120, numPartitions=40))
+        assert rows.rdd.getNumPartitions() == 3 and rows.count() == 120
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
