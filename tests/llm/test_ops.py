@@ -499,3 +499,22 @@ def test_training_tasks_of_personal_data_follow_the_examples(spark, monkeypatch)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_shuffle_files_go_with_their_checkpoint(spark):
+    import glob
+    import os
+    import tempfile
+    import time
+
+    local = spark.sparkContext.getConf().get("spark.local.dir") or os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+    files = lambda: set(glob.glob(f"{local}/**/blockmgr-*/*/shuffle_*.data", recursive=True))
+    before, was = files(), spark.conf.get(common.CLEANUP)
+    kept = common.cut(spark.range(50_000).groupBy((F.col("id") % 7000).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before  # they stayed until the driver's JVM collected garbage
+    assert kept.agg(F.sum("n")).first()[0] == 50_000 and spark.conf.get(common.CLEANUP) == was
+    kept.groupBy("n").count().collect()
+    assert files() - before  # which shows that the test looks where they are
