@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memengine.llm.common import mix, table, without, worker_state
+from memengine.llm.common import mix, table, worker_state
 
 #: n-grams of 1 to SPECTRUM characters, hashed into 2**PLACES places; the kernel counts the places that two texts share.
 SPECTRUM, PLACES = 3, 14
@@ -100,6 +101,24 @@ def learn(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
     return fit(has, rows["lang"].tolist(), landmarks)
 
 
+def _told(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
+    """The language and score of each lower-cased text."""
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if model is not None and t is not None and any(map(str.isalpha, t))]
+    while known:
+        n, size = 0, 0
+        while n < len(known) and n < 128 and (n == 0 or size < 1 << 19):
+            size += len(texts[known[n]])
+            n += 1
+        part, known = known[:n], known[n:]
+        f = model.outputs(presence([texts[i] for i in part]))
+        best = f.argmax(1)
+        scores[part] = np.clip((f[np.arange(n), best].astype(np.float64) + 1) / 2, 0, 1)
+        for i, c in zip(part, best.tolist(), strict=True):
+            langs[i] = model.langs[c]
+    return langs, scores
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row; score is the winning output, clipped and scaled from [-1, 1] to [0, 1].
 
@@ -110,37 +129,34 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state()
-        model = held.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if model is not None and t is not None and any(map(str.isalpha, t))]
-            while known:
-                n, size = 0, 0
-                while n < len(known) and n < 128 and (n == 0 or size < 1 << 19):
-                    size += len(texts[known[n]])
-                    n += 1
-                part, known = known[:n], known[n:]
-                f = model.outputs(presence([texts[i] for i in part]))
-                best = f.argmax(1)
-                scores[part] = np.clip((f[np.arange(n), best].astype(np.float64) + 1) / 2, 0, 1)
-                for i, c in zip(part, best.tolist(), strict=True):
-                    langs[i] = model.langs[c]
+            langs, scores = _told(batch.column("text").to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows that have a language (with a score of ``least`` or more), with all their columns.
+    """The rows that have a language (with a score of ``least`` or more), with all their columns; ``lang`` is the one found where it is null.
 
-    Texts without a letter go. Where there is nothing to learn from, no other text does. A row without an id stays. The
-    outputs of a short text are all low, however clear its language is: a score is no reason to drop a document.
+    Each row is told by its own text, whatever its id is: rows without an id too, and rows that repeat one. Texts without a
+    letter go. Where there is nothing to learn from, no other text does, and ``lang`` stays. The outputs of a short text are
+    all low, however clear its language is: a score is no reason to drop a document.
     """
     model = learn(docs)
-    found = identify(docs, model) if model else docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.lit(1.0).alias("score"))
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    return without(docs, bad)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        worker_state()
+        langs, scores = _told(texts.tolist(), held.value)
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    # rows stay where they are; one that is not deterministic is asked once, for the filter and the column
+    found = docs.withColumn("_told", told.asNondeterministic()(F.lower("text"))).filter((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= least))
+    return found.select(*(F.coalesce("lang", "_told.lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
